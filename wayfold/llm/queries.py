@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.near_dedup import DedupParams, near_duplicates
 from wayfold.llm.quality_rules import quality_rules
 from wayfold.llm.tables import table
 
@@ -14,8 +15,38 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), DedupParams(shingle=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+                      WHEN len(w) = 1 THEN [w[1]]
+                      ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s
+  FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM pairs WHERE 100 * i >= 80 * (na + nb - i)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least.component_id, s.doc_id = least.component_id AS kept
+FROM s JOIN least ON s.doc_id = least.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": _NEAR_DEDUP_SQL,
+}
