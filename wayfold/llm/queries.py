@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.decontaminate import decontaminate
 from wayfold.llm.near_dedup import DedupParams, near_duplicates
+from wayfold.llm.pieces import encode_pieces
 from wayfold.llm.quality_rules import quality_rules
+from wayfold.llm.secrets import secret_scan
 from wayfold.llm.tables import table
 
 
@@ -19,9 +22,24 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), DedupParams(shingle=2))
 
 
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 _NEAR_DEDUP_SQL = r"""
@@ -47,6 +65,26 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least.component_id, s.d
 FROM s JOIN least ON s.doc_id = least.doc_id
 """
 
+_DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), il AS (SELECT item_id, w, least(10, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS x FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM il)),
+dp AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS x FROM dp),
+hit AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.x = iw.x),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": _NEAR_DEDUP_SQL,
+    "op7_benchmark_decontamination": _DECONTAMINATION_SQL,
 }
