@@ -6,40 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.chat import rotate_perspectives
 from wayfold.llm.decontaminate import decontaminate
 from wayfold.llm.near_dedup import DedupParams, near_duplicates
 from wayfold.llm.pieces import encode_pieces
+from wayfold.llm.quality_classifier import quality_scores
 from wayfold.llm.quality_rules import quality_rules
 from wayfold.llm.secrets import secret_scan
+from wayfold.llm.sharding import balanced_shards
 from wayfold.llm.tables import table
+from wayfold.llm.toxicity import toxicity
+from wayfold.llm.urls import url_filter
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), DedupParams(shingle=2))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"))
 
 
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
+    "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_balanced_sharding": op6_balanced_sharding,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
+    "op10_perspective_rotation": op10_perspective_rotation,
 }
 
 _NEAR_DEDUP_SQL = r"""
@@ -84,7 +114,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """
 
+_ROTATION_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS body
+  FROM conversations WHERE conv_id IS NOT NULL
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+h AS (
+  SELECT t.conv_id, perspective, turn, speaker, body, speaker = perspective AS own,
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+         WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
+         ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+  FROM t JOIN p ON t.conv_id = p.conv_id
+)
+SELECT conv_id, perspective, turn, speaker, head || body || '<|im_end|>' || chr(10) AS rendered, CAST(length(head) AS BIGINT) AS mask_start,
+  CAST(length(head) + CASE WHEN own THEN length(body) + 10 ELSE 0 END AS BIGINT) AS mask_end
+FROM h
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": _NEAR_DEDUP_SQL,
     "op7_benchmark_decontamination": _DECONTAMINATION_SQL,
+    "op10_perspective_rotation": _ROTATION_SQL,
 }
