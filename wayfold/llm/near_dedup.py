@@ -283,7 +283,11 @@ def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all columns."""
-    kept = near_duplicates(docs, params).where("kept")
-    named = docs.join(kept.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """The rows of ``docs`` that stay: one document of each group, with all columns.
+
+    Of repeated rows (equal doc_id and text) one stays; rows that share a doc_id but not the
+    text stay or go together.  Rows without doc_id stay, having no name to be dropped by.
+    """
+    kept = near_duplicates(docs, params).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
