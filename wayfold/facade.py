@@ -66,7 +66,7 @@ class Session:
             wanted = {weight_column: "double"} if weight_column and weight_column != "Count" else {}
             wanted |= {uid: "string"} if uid else {}
             layer = readers.point_layer(readers.read_layer(self.spark, self._path(name), wanted | (more or {})), uid)
-            layer = topology.point_weight(layer, weight_column if wanted else "")
+            layer = topology.point_weight(layer, weight_column if weight_column in wanted else "")
             edges = self.network.edges
             snapped = topology.snap(layer, topology.segments(edges), self.cell)
             keep = ["pt_id", "uid", "weight", *(more or {})]
