@@ -1,6 +1,7 @@
 """SentencePiece encoding by forward-filtering backward-sampling, and decoding.
 
-A text is cut where no piece can reach across: before each run of spaces.  For each stretch
+A text is cut where no piece can reach across: before each run of spaces, and around characters
+that are in no piece.  For each stretch
 the lattice of all pieces is weighted by ``exp(sharpness * score)``.  Forward filtering sums
 the weights of all segmentations up to each character; backward sampling draws the last piece
 in proportion to the mass that reaches it, then the one before, and so on, so a
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from wayfold.llm.arrow import map_batches
 
 MARK = "\u2581"
-STRETCH = re.compile(r" +[^ ]*|[^ ]+")
+STRETCH = r" +[^ ]*|[^ ]+"
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class PieceParams:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     sharpness: float = 5e-4
     seed: int = 1
-    remembered: int = 150_000
+    remembered: int = 200_000
     short: int = 40
 
 
@@ -80,50 +81,60 @@ class Codec:
         self.fallback = params.sharpness * floor
         self.longest = max(map(len, usual))
         self.whole = any(" " in t.lstrip(" ") for t in usual)  # then pieces cross stretches
-        self.memory: dict[str, tuple | list] = {}
+        within = set().union(*usual)
+        alone = [c for c in map(chr, range(128)) if c not in within]
+        # No piece reaches over a character that is in none: those of ASCII are stretches of their own.
+        cut = re.escape("".join(alone))
+        self.stretch = re.compile(f" +[^ {cut}]*|[^ {cut}]+|[{cut}]" if cut else STRETCH)
+        self.fixed: dict[str, tuple | list] = {c: (0.0, 1.0, (self.byte_ids[ord(c)],)) for c in alone}
+        self.memory, self.old = self.fixed.copy(), {}
 
     def _edge_ids(self, piece: str) -> tuple[int, ...]:
         return self.ids.get(piece) or tuple(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def _lattice(self, s: str):
-        """(mass up to each place, edges into it as (from, ids, mass)); every character of s is a piece.
+    def _invert(self, s: str, u: float) -> tuple[float, float, tuple[int, ...]]:
+        """The interval of [0, 1) around u that one segmentation fills, and its ids.
 
-        The automaton finds all pieces in s, in the order of their ends, in one pass.
+        Every character of s is a piece.  The automaton finds all pieces in s, in the order of
+        their ends, in one pass; ``mass`` is that of all segmentations up to each place.
         """
-        mass, into = [1.0] + [0.0] * len(s), [[] for _ in range(len(s) + 1)]
-        for end, (length, weight, ids) in self.automaton.iter(s):
-            j = end + 1
-            m = mass[j - length] * weight
-            mass[j] += m
-            into[j].append((j - length, ids, m))
-        return mass, into
-
-    def _invert(self, s: str, u: float) -> tuple[float, float, tuple[int, ...]]:
-        """The interval of [0, 1) around u that one segmentation fills, and its ids."""
-        mass, into = self._lattice(s)
-        j, low, width, out = len(s), 0.0, 1.0, ()
+        edges = list(self.automaton.iter(s))
+        mass = [1.0] + [0.0] * len(s)
+        for end, (length, weight, _) in edges:
+            mass[end + 1] += mass[end + 1 - length] * weight
+        j, k, low, width, out = len(s), len(edges) - 1, 0.0, 1.0, ()
         while j:
-            edges, total = into[j], mass[j]
+            while edges[k][0] >= j:
+                k -= 1
+            total = mass[j]
             target, below = (u - low) / width * total, 0.0
-            for edge in edges[:-1]:
-                if target < below + edge[2]:
+            while True:
+                length, weight, ids = edges[k][1]
+                share = mass[j - length] * weight
+                if target < below + share or not k or edges[k - 1][0] != j - 1:
                     break
-                below += edge[2]
-            else:
-                edge = edges[-1]
+                below += share
+                k -= 1
             low += below / total * width
-            width *= edge[2] / total
-            out = edge[1] + out
-            j = edge[0]
+            width *= share / total
+            out = ids + out
+            j -= length
         return low, low + width, out
 
+    def _forget(self) -> None:
+        """A full memory becomes the old one; what is met again moves back."""
+        self.old, self.memory = self.memory, self.fixed.copy()
+
     def _short(self, s: str, u: float) -> tuple[int, ...]:
         known = self.memory.get(s)
         if known is None:
             if len(self.memory) >= self.params.remembered:
-                self.memory.clear()
-            self.memory[s] = one = self._invert(s, u)
-            return one[2]
+                self._forget()
+            known = self.old.get(s)
+            if known is None:
+                self.memory[s] = one = self._invert(s, u)
+                return one[2]
+            self.memory[s] = known
         if type(known) is tuple:  # one interval so far
             if known[0] <= u < known[1]:
                 return known[2]
@@ -167,7 +178,7 @@ class Codec:
         seed = hashlib.blake2b(f"{self.params.seed}:{key}".encode(), digest_size=8).digest()
         rng = np.random.Generator(np.random.PCG64(int.from_bytes(seed, "big")))
         text = " " + text
-        stretches = [text] if self.whole else STRETCH.findall(text)
+        stretches = [text] if self.whole else self.stretch.findall(text)
         out: list[int] = []
         short, single = self.params.short, self.single
         for s, u in zip(stretches, rng.random(len(stretches)).tolist()):
