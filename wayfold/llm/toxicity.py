@@ -166,7 +166,9 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
         return None
     prior = min(0.9, max(0.001, sizes["toxic"] / sizes["n"]))
     own = docs.select("doc_id", "text")
-    positives = own.join(_sample(known.where("label = 1"), sizes["toxic"], p.max_positive, 3).select("doc_id"), "doc_id", "left_semi")
+    # At most max_positive ids: the texts stay where they are.
+    chosen = known.where("label = 1").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(p.max_positive).select("doc_id")
+    positives = own.join(F.broadcast(chosen), "doc_id", "left_semi")
     pool = own.where(~held_out())
     n_pool = pool.select("doc_id").count()
     unlabelled = _sample(pool, n_pool, p.max_unlabelled, 5)
