@@ -5,6 +5,7 @@ from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_near_dedup import brute as groups
 from wayfold.llm.secrets import redact_text
 from wayfold.llm.tables import table
+from wayfold.plans.staging import stage as staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,12 +16,11 @@ def test_stages_take_effect_and_keep_columns(spark):
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
         before = [r.asDict() for r in docs.collect()]
-        docs = stage(spark, docs, SF)
+        docs = staged(stage(spark, docs, SF), name)
         after = [r.asDict() for r in docs.collect()]
         seen[name] = (before, after)
         if name != "sentencepiece":
             assert docs.columns == columns
-            docs = spark.createDataFrame(docs.collect(), docs.schema)
     before, after = seen["quality_rules"]
     assert 0 < len(after) <= len(before)
     before, after = seen["near_dedup"]
@@ -34,8 +34,3 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: redact_text(r["text"]) for r in before}
     before, after = seen["sentencepiece"]
     assert len(after) == len(before) and all(r["lossless"] for r in after)
-
-
-def test_run_gives_the_last_stage(spark):
-    got = corpus_pipeline.run(spark, SF)
-    assert set(got.columns) == {"doc_id", "piece_ids", "n_pieces", "lossless"} and got.count() > 0
