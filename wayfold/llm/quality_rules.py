@@ -212,5 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParam
     stats = stage(with_counts(inner).drop("text"), "rules-counts")
     rules = learn(stats.join(known, "doc_id"), params)
     body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("__text"))
-    judged = judge(with_counts(body, "__text"), rules)
-    return judged.where("kept").select("row.*")
+    # A filter pushed below the counts would repeat their expressions in each other without end;
+    # none is pushed below a column that isn't deterministic.
+    judged = judge(with_counts(body, "__text"), rules).withColumn("__place", F.monotonically_increasing_id())
+    return judged.where("kept and __place >= 0").select("row.*")
