@@ -1,0 +1,5 @@
+"""Nothing here: none of the engine's operations is a stream.
+
+Network distances and flows are functions of whole layers; a batch that is rerun per arrival
+of a layer (``facade.run_batch``) resumes from what stands complete.
+"""
