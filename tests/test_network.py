@@ -3,12 +3,14 @@
 import itertools
 import json
 import math
+import types
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import access, flow, impedance, pathjoin, routes, topology, trips
 from wayfold.params import Settings, export_project
+from wayfold.plans import queries
 from wayfold.sources import readers, writers
 
 EDGE = "edge_id long, u long, v long, length double, weight double"
@@ -84,6 +86,37 @@ def test_turns_cost_and_straight_on_is_free(spark, lattice):
     assert got == {2: 100.0, 3: 132.0}
 
 
+def test_whole_turn_pairs_are_of_all_origins_at_the_radius(spark, lattice):
+    edges, nodes, rows = lattice
+    at = [(i, 1.0, i % len(rows), 10.0 * (i % 9) + 5) for i in range(1, 12)]
+    o, d = points(spark, rows, at), points(spark, rows, [(100 + i, w, e, 100.0 - x) for i, w, e, x in at])
+    xy = {n: (n % 3, n // 3) for n in range(9)}
+    ends = {(e, k): (b, a) if k else (a, b) for e, a, b, _, _ in rows for k in (0, 1)}
+    state, goal = {}, {}
+    for e, k in ends:
+        a, b = ends[e, k]
+        state[e, k], goal[e, k] = [], (xy[b][0] - xy[a][0], xy[b][1] - xy[a][1])
+    turn = lambda s, t: 0.0 if goal[s] == goal[t] else 32.0
+    for s in state:
+        state[s] = [t for t in state if ends[t][0] == ends[s][1] and t[0] != s[0]]
+    want = {}
+    for i, _, e, x in at:
+        best = {(e, 1): x, (e, 0): 100.0 - x}
+        for _ in range(30):
+            for s in list(best):
+                for t in state[s]:
+                    best[t] = min(best.get(t, math.inf), best[s] + turn(s, t) + 100.0)
+        for j, _, f, y in at:
+            y = 100.0 - y
+            found = [best[s] + turn(s, t) + (100.0 - y if t[1] else y) for s in best for t in state[s] if t[0] == f] + [abs(x - y)] * (e == f)
+            if min(found) <= queries.R:
+                want[i, 100 + j] = min(found)
+    city = types.SimpleNamespace(edges=edges, nodes=nodes, origins=o, destinations=d)
+    got = {(r["o"], r["dest"]): r["d"] for r in queries.turn_od_whole(city).collect()}
+    assert "J8_J10_turn_od_whole" in queries.QUERIES
+    assert got == pytest.approx(want) and {i for i, _ in got} == set(range(1, 12)) and max(got.values()) > 400
+
+
 def test_flow_loads_both_snap_edges_with_all_trips(spark, lattice):
     edges, _, rows = lattice
     o, d = points(spark, rows, [(1, 10.0, 0, 50.0)]), points(spark, rows, [(2, 1.0, 11, 50.0)])

@@ -206,10 +206,20 @@ got AS (
 SELECT o, dest, round(min(d), 4) AS d FROM got GROUP BY o, dest HAVING min(d) <= 400""",
 )
 def turn_od(c: City) -> DataFrame:
-    """A fifth of the origins is a class of them here, as a study area would be."""
+    """The fifth of the origins and the radius that the SQL has; ``turn_od_whole`` is the whole job."""
+    return _turn_od(c, c.origins.where("pt_id % 5 = 0"), 400.0)
+
+
+def _turn_od(c: City, origins: DataFrame, radius: float) -> DataFrame:
     arcs = _arcs(c)
     moves = impedance.transitions(arcs, c.nodes, "geometry", 45.0, 32.0)
-    return pathjoin.turn_od(c.origins.where("pt_id % 5 = 0"), c.destinations, arcs, _once(moves, "moves"), 400.0).select("o", "dest", *r4("d"))
+    return pathjoin.turn_od(origins, c.destinations, arcs, _once(moves, "moves"), radius).select("o", "dest", *r4("d"))
+
+
+@query("J8_J10_turn_od_whole")
+def turn_od_whole(c: City) -> DataFrame:
+    """Every origin within R.  Without SQL: a test holds it against brute force."""
+    return _turn_od(c, c.origins, float(R))
 
 
 @query("J12_closest_facility", f"{with_od()} SELECT dest, (min({{'d': d, 'o': o}})).o AS o, round(min(d), 4) AS d FROM od GROUP BY dest")
