@@ -71,6 +71,18 @@ def test_wrapped_secrets_map_to_their_stretch(wrapped):
     assert "abc123XYZ" not in secrets.redact_text(text)
 
 
+@pytest.mark.parametrize("text, start, end", [
+    ('é {"password": "\\u0073\\u0033cret99x"} é', 4, 35),
+    ("é token = %61%62%63%64%65%66%67 é", 2, 31),
+    ("é password='%68%75%6e%74%65%72%32' é", 2, 33),
+    ("é secret: \\x61\\x62%63d\\u{65}f99 %e9", 2, 31),
+])
+def test_plain_keys_before_escaped_values(text, start, end):
+    base, spans, _ = secrets.scan(text)
+    assert not base and (start, 0, end) in spans
+    assert secrets.redact_text(text).startswith("é ") and secrets.redact_text(text).count("[SECRET]") == 1
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(zlib.compress(b"a" * 10_000_000)).decode()
     assert secrets.scan(bomb, secrets.ScanParams(max_expanded=1000))[2] >= 1

@@ -1,10 +1,11 @@
 """Secret scans: a worklist of decoded layers over each whole text.
 
-The base scan finds three kinds on the text itself.  Then every encoded stretch is unwrapped
-into a layer of its own: runs with URL escapes, runs with Unicode or hex escapes, base64
-tokens, and zlib, gzip, bzip2 or xz data inside those.  A layer is scanned and unwrapped like
-the text, until nothing new appears; layers seen before end a cycle.  Spans found in a layer
-are mapped back to the code points of the text that they were decoded from.
+The base scan finds three kinds on the text itself.  Then encodings are unwrapped into layers:
+the whole text with all its URL escapes decoded, the whole text with all its Unicode and hex
+escapes decoded, base64 tokens, and zlib, gzip, bzip2 or xz data inside those.  A layer is
+scanned and unwrapped like the text, until nothing new appears; layers seen before end a cycle.
+Spans found in a layer are mapped back to the code points of the text that they were decoded
+from.  An escaped byte is a character of its own, as all that is looked for is ASCII.
 
 Edge cases: a null text is an empty text; data that decodes to no valid text is no layer;
 decompression stops after ``max_expanded`` bytes of one stream, against bombs, and what came
@@ -20,6 +21,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,9 +42,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: All that can hold a hex or base64 secret lies in one of these.
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-URL_RUN = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
-UNI_RUN = re.compile(r"[^\s<>]*\\(?:u\{?[0-9A-Fa-f]|x[0-9A-Fa-f]{2})[^\s<>]*")
 UNI_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 
 
@@ -52,17 +52,31 @@ class ScanParams:
 
 
 class Layer:
-    """Decoded text; ``at(i, j)`` is the span of the root text behind its characters i to j."""
+    """Decoded text; ``at(i, j)`` is the span of the root text behind its characters i to j.
 
-    __slots__ = ("ends", "span", "starts", "text")
+    A layer has one ``span`` for all of it, or is its ``parent`` with escapes decoded: the
+    character ``places[k]`` is the parent's stretch ``escapes[k]``, all others are the parent's own.
+    """
 
-    def __init__(self, text, starts=None, ends=None, span=None):
-        self.text, self.starts, self.ends, self.span = text, starts, ends, span
+    __slots__ = ("escapes", "parent", "places", "span", "text")
+
+    def __init__(self, text, span=None, parent=None, places=(), escapes=()):
+        self.text, self.span, self.parent, self.places, self.escapes = text, span, parent, places, escapes
+
+    def _behind(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.places, i) - 1
+        if k < 0:
+            return i, i + 1
+        start, end = self.escapes[k]
+        beyond = i - self.places[k]
+        return (start, end) if beyond == 0 else (end + beyond - 1, end + beyond)
 
     def at(self, i: int, j: int) -> tuple[int, int]:
-        if self.span:
-            return self.span
-        return (i, j) if self.starts is None else (min(self.starts[i:j]), max(self.ends[i:j]))
+        layer = self
+        while layer.span is None and layer.parent is not None:
+            i, j = layer._behind(i)[0], layer._behind(j - 1)[1]
+            layer = layer.parent
+        return layer.span or (i, j)
 
 
 def base_spans(text: str, tokens: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
@@ -123,34 +137,19 @@ def _unwrap_token(layer: Layer, i: int, j: int, limit: int) -> Layer | None:
     return Layer(text, span=layer.at(i, j)) if text else None
 
 
-def _unwrap_run(layer: Layer, i: int, j: int, escape: re.Pattern, url: bool) -> Layer | None:
-    """The run with its escapes decoded, each character with the span that it came from."""
-    data, starts, ends, k = bytearray(), [], [], i
-
-    def add(piece: bytes, a: int, b: int) -> None:
-        data.extend(piece)
-        s, e = layer.at(a, b)
-        starts.extend([s] * len(piece))
-        ends.extend([e] * len(piece))
-
-    for m in escape.finditer(layer.text, i, j):
-        for c in range(k, m.start()):
-            add(layer.text[c].encode("utf-8", "surrogatepass"), c, c + 1)
-        if url:
-            add(bytes([int(m[1], 16)]), *m.span())
-        else:
-            code = int(m[1] or m[2] or m[3], 16)
-            add(chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"?", *m.span())
-        k = m.end()
-    for c in range(k, j):
-        add(layer.text[c].encode("utf-8", "surrogatepass"), c, c + 1)
-    try:
-        # UTF-16 pairs written as two escapes become one character of two surrogates: kept as they are.
-        text = data.decode("utf-8", "surrogatepass")
-    except UnicodeDecodeError:
-        return Layer(data.decode("latin-1"), starts, ends)
-    first = [p for p in range(len(data)) if data[p] & 0xC0 != 0x80] + [len(data)]
-    return Layer(text, [min(starts[p:q]) for p, q in zip(first, first[1:])], [max(ends[p:q]) for p, q in zip(first, first[1:])])
+def _unescape(layer: Layer, escape: re.Pattern) -> Layer | None:
+    """The whole layer with its escapes decoded, one character each."""
+    out, places, escapes, end, n = [], [], [], 0, 0
+    for m in escape.finditer(layer.text):
+        code = int(next(filter(None, m.groups())), 16)
+        n += m.start() - end
+        out += [layer.text[end : m.start()], chr(code) if code < 0x110000 else "?"]
+        places.append(n)
+        escapes.append(m.span())
+        n, end = n + 1, m.end()
+    if not places:
+        return None
+    return Layer("".join([*out, layer.text[end:]]), parent=layer, places=places, escapes=escapes)
 
 
 def scan(text: str | None, params: ScanParams = ScanParams()) -> tuple[list, list, int]:
@@ -170,9 +169,9 @@ def scan(text: str | None, params: ScanParams = ScanParams()) -> tuple[list, lis
             found.update((s, kind, e) for i, kind, j in base_spans(layer.text, own) for s, e in [layer.at(i, j)])
         new = [_unwrap_token(layer, i, j, params.max_expanded) for i, j in own]
         if "%" in layer.text:
-            new += [_unwrap_run(layer, *m.span(), URL_ESCAPE, True) for m in URL_RUN.finditer(layer.text)]
+            new.append(_unescape(layer, URL_ESCAPE))
         if "\\" in layer.text:
-            new += [_unwrap_run(layer, *m.span(), UNI_ESCAPE, False) for m in UNI_RUN.finditer(layer.text)]
+            new.append(_unescape(layer, UNI_ESCAPE))
         for child in new:
             # The same layer at another place has spans of its own.
             if child is not None and (key := (child.text, child.at(0, len(child.text)) if child.text else None)) not in seen:
