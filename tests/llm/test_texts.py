@@ -199,6 +199,27 @@ def test_shards_are_even_gapless_and_keep_groups(docs):
     assert {r["slot"] for r in sharding.balanced_shards(docs([(1, "a"), (2, "a")])).collect()} == {0}
 
 
+def test_groups_stay_whole_where_a_shard_can_hold_them(docs):
+    # 1600 rows, quota 100: groups of 90, 60 and 30 fit, 530 rows need six shards, small groups share what is left.
+    sizes = {"third": 530, "most": 90, "half": 60, "some": 30} | {f"small {k}": 3 + k % 20 for k in range(60)}
+    rows = [(0, t) for t, k in sizes.items() for _ in range(k)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows + [(0, f"alone {k}") for k in range(1600 - len(rows))])]
+    got = sharding.balanced_shards(docs(rows), sharding.ShardParams(bucket_rows=16)).collect()
+    assert set(collections.Counter(r["shard"] for r in got).values()) == {100}
+    where = collections.defaultdict(set)
+    for r in got:
+        where[rows[r["doc_id"]][1]].add(r["shard"])
+    assert {t: len(where[t]) for t in sizes} == {t: 6 if t == "third" else 1 for t in sizes}
+
+
+def test_groups_that_fit_nowhere_are_split_over_the_most_room():
+    room = [100, 100, 100]
+    pieces = sharding._pack([(g, 60, [0, 0, 0]) for g in range(4)], room)
+    assert sum(b - a for _, _, a, b in pieces) == 240 and sum(room) == 60
+    count = collections.Counter(g for g, *_ in pieces)
+    assert sorted(count.values()) == [1, 1, 1, 2] and min(room) >= 0
+
+
 # ---------------------------------------------------------------- urls
 
 def test_rules_and_parts(spark):

@@ -1,15 +1,18 @@
 """Balanced label propagation: linked documents gather in one shard, shards stay even.
 
 Documents with equal texts are linked.  All start in the shard of a hash.  In each round a
-group of linked documents wants the shard where most of its members are; wishes are granted
-in a fixed order until a shard's quota is full, members of granted groups move there, and
-the others turn to shards with room in the next round.  Documents without links then fill
-what is free.  The law is ``rows``: counts of shards differ by one at most.
-
-A group larger than a quarter of a shard is dealt into blocks of about that size by a hash,
-since no quota could hold it whole; each block moves as one.  Ranks and slots never sort a
-whole shard: rows are numbered within hash buckets, and offsets of the buckets (shards times
-buckets rows, bounded by ``max_buckets``) are joined to them.
+group of linked documents wants the shard where most of its members are, of those that can
+hold it whole; wishes are granted in a fixed order until a shard's quota is full, members of
+granted groups move there, and the others turn to shards with room in the next round, until
+no shard can hold any of them.  Documents without links then fill what is free.  The law is
+``rows``: counts of shards differ by one at most.
+
+Groups of over a quarter of a shard (a few for each shard at most) are placed one by one
+before the others: those that fit a quota whole, the largest first, after those that none
+could hold, which fill shard by shard.  What fits nowhere is split over the shards with most
+room.  Ranks and slots never sort a whole shard: rows are numbered within hash buckets, and
+offsets of the buckets (shards times buckets rows, bounded by ``max_buckets``) are joined to
+them.
 
 Edge cases: a null text has size 1 and the checksum of no bytes, and links to other null
 texts; empty texts link to each other; repeated rows are rows of their own; an empty table
@@ -29,7 +32,6 @@ from wayfold.plans.staging import stage
 @dataclass(frozen=True)
 class ShardParams:
     shards: int = 16
-    rounds: int = 4
     bucket_rows: int = 4096
     max_buckets: int = 4096
 
@@ -59,16 +61,54 @@ def _quotas(n: int, shards: int) -> list[int]:
 
 
 def _wish(votes: list[str], room: list[int]) -> Column:
-    """Of the shards with room, the one with most votes; of equals the first from a hash of the unit on."""
+    """Of the shards that can hold the group, the one with most votes; of equals the first from a hash of the group on."""
     k = len(votes)
     best = F.lit(None).cast("struct<v:bigint,t:int,s:int>")
     for s, v in enumerate(votes):
         if room[s] > 0:
-            tie = F.pmod(F.xxhash64("unit") - s, F.lit(k)).cast("int")
-            best = F.greatest(best, F.struct(F.col(v).alias("v"), tie.alias("t"), F.lit(s).alias("s")))
+            tie = F.pmod(F.xxhash64("group") - s, F.lit(k)).cast("int")
+            best = F.greatest(best, F.when(F.col("n") <= room[s], F.struct(F.col(v).alias("v"), tie.alias("t"), F.lit(s).alias("s"))))
     return best["s"]
 
 
+def _pack(groups: list[tuple[int, int, list[int]]], room: list[int]) -> list[tuple[int, int, int, int]]:
+    """Pieces (group, shard, first row, row after the last) of groups (group, n, votes); takes them from ``room``.
+
+    A group that no shard can hold, even empty, fills the emptiest ones; then the others are
+    placed whole, the largest first; at last what fits nowhere is split like the first.
+    """
+    pieces = []
+
+    def split(group: int, n: int) -> None:
+        at = 0
+        while at < n:
+            left = n - at
+            # What remains goes whole into the fullest shard that can hold it, or else fills the emptiest one.
+            holds = [s for s in range(len(room)) if room[s] >= left]
+            shard = min(holds, key=lambda s: (room[s], s)) if holds and at else max(range(len(room)), key=lambda s: (room[s], -s))
+            take = min(left, room[shard])
+            pieces.append((group, shard, at, at + take))
+            room[shard] -= take
+            at += take
+
+    most, split_later = max(room), []
+    ordered = sorted(groups, key=lambda g: (-g[1], g[0]))
+    for group, n, votes in ordered:
+        if n > most:
+            split(group, n)
+            continue
+        holds = [s for s in range(len(room)) if room[s] >= n]
+        if not holds:
+            split_later.append((group, n))
+            continue
+        shard = max(holds, key=lambda s: (votes[s], -s))
+        pieces.append((group, shard, 0, n))
+        room[shard] -= n
+    for group, n in split_later:
+        split(group, n)
+    return pieces
+
+
 def balanced_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``."""
     p = params
@@ -83,34 +123,44 @@ def balanced_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
     )
     n = base.count()
     quotas = _quotas(n, p.shards)
-    most = max(1, n // (4 * p.shards))
-    groups = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("group", F.ceil(F.col("n") / most).cast("long").alias("blocks"))
-    unit = F.xxhash64("group", F.pmod(F.xxhash64("row", F.lit(9)), F.col("blocks")))
-    linked = stage(base.select("row", "group", "shard").join(groups, "group").select("row", unit.alias("unit"), "shard"), "shards-linked")
+    groups = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    linked = stage(base.select("row", "group", "shard").join(groups, "group"), "shards-linked")
 
     room = list(quotas)
     votes = [f"v{s}" for s in range(p.shards)]
-    settled = linked.select("unit", "shard").limit(0)
-    waiting = linked
-    for _ in range(p.rounds):
-        # Neighbours' shards: a unit's members are all linked, so their counts are each member's votes.
-        units = waiting.groupBy("unit").agg(
-            F.count("*").alias("n"), *(F.sum((F.col("shard") == s).cast("int")).alias(v) for s, v in enumerate(votes))
-        )
-        units = stage(units.select("unit", "n", _wish(votes, room).alias("wish")).where("wish is not null"), "shards-units")
-        count = units.count()
+    # Neighbours' shards: members of a group are all linked, so their counts are each member's votes.
+    counted = linked.groupBy("group").agg(
+        F.count("*").alias("n"), *(F.sum((F.col("shard") == s).cast("int")).alias(v) for s, v in enumerate(votes))
+    )
+    counted = stage(counted, "shards-groups")
+
+    def packed(big: DataFrame) -> list[tuple[int, int, int, int]]:
+        return _pack([(r["group"], r["n"], [r[v] for v in votes]) for r in big.collect()], room)
+
+    # More than a quarter of a shard: at most eight groups for each shard.
+    pieces = packed(counted.where(F.col("n") * 4 > quotas[-1]))
+    settled = counted.select("group", F.lit(0).alias("shard")).limit(0)
+    waiting = counted.where(F.col("n") * 4 <= quotas[-1])
+    while True:
+        wishing = stage(waiting.withColumn("wish", _wish(votes, room)), "shards-wishes")
+        count = wishing.where("wish is not null").count()
         if not count:
             break
-        ranked = _numbered(units, ["wish"], F.xxhash64("unit", F.lit(3)), [F.desc("n"), "unit"], _buckets(count, p), F.col("n"), "before")
+        ranked = _numbered(
+            wishing.where("wish is not null").select("group", "n", "wish"), ["wish"], F.xxhash64("group", F.lit(3)), [F.desc("n"), "group"],
+            _buckets(count, p), F.col("n"), "before",
+        )
+        # The first of each shard's wishes fits, so every round grants some.
         fits = F.col("before") + F.col("n") <= F.element_at(F.array(*map(F.lit, room)), F.col("wish") + 1)
-        granted = stage(ranked.where(fits).select("unit", F.col("wish").alias("shard"), "n"), "shards-granted")
+        granted = stage(ranked.where(fits).select("group", F.col("wish").alias("shard"), "n"), "shards-granted")
         for r in granted.groupBy("shard").agg(F.sum("n").alias("n")).collect():
             room[r["shard"]] -= r["n"]
-        settled = settled.union(granted.select("unit", "shard"))
-        waiting = waiting.join(granted.select("unit"), "unit", "left_anti")
+        settled = settled.union(granted.select("group", "shard"))
+        waiting = wishing.drop("wish").join(granted.select("group"), "group", "left_anti")
+    # Each is larger than any room that is left, and all together are not: fewer than there are shards.
+    pieces += packed(wishing)
 
-    moved = linked.select("row", "unit").join(settled, "unit").select("row", "shard")
+    moved = linked.select("row", "group").join(settled, "group").select("row", "shard").union(_dealt(linked, pieces, n, p))
     labels = stage(base.drop("shard").join(moved, "row", "left"), "shards-labels")
     filled = _fill(labels.where("shard is null"), room, n, p)
     placed = stage(labels.where("shard is not null").unionByName(filled), "shards-placed")
@@ -121,6 +171,15 @@ def balanced_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
     )
 
 
+def _dealt(linked: DataFrame, pieces: list[tuple[int, int, int, int]], n: int, p: ShardParams) -> DataFrame:
+    """(row, shard) of the groups that have pieces, their rows in the order of their rank."""
+    spark = linked.sparkSession
+    at = F.broadcast(spark.createDataFrame(pieces, "group long, to int, first long, after long"))
+    own = linked.select("row", "group").join(F.broadcast(at.select("group").distinct()), "group")
+    ranked = _numbered(own, ["group"], F.xxhash64("row", F.lit(11)), ["row"], min(p.max_buckets, _buckets(n, p) * p.shards), F.lit(1), "rank")
+    return ranked.join(at, "group").where("rank >= first and rank < after").select("row", F.col("to").alias("shard"))
+
+
 def _fill(free: DataFrame, room: list[int], n: int, p: ShardParams) -> DataFrame:
     """Rows without a shard, dealt in the order of their rank to the shards with room."""
     ranked = _numbered(
