@@ -1,13 +1,17 @@
 """Secret scans, pieces, toxicity, sharding, URL filters and chat formatting."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import json
+import lzma
 import math
 import random
 import re
 import zlib
+from urllib.parse import quote
 
 import pytest
 
@@ -83,6 +87,38 @@ def test_plain_keys_before_escaped_values(text, start, end):
     assert secrets.redact_text(text).startswith("é ") and secrets.redact_text(text).count("[SECRET]") == 1
 
 
+def packed_and_odd():
+    b64 = lambda x: base64.b64encode(x).decode()
+    key, noise = KEY.encode(), random.Random(2).randbytes(3000)
+    for odd in ("\u00a0", "\u202f", "\u3000", "\u00ad", "\u200b", "\ufeff", "\f", "\x1b", "\0"):
+        yield b64(f"some {odd} text {KEY}".encode())
+    yield b64(b"cut \xe2\x82 " + key)
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        yield b64(pack(b"first") + pack(key))
+        yield b64(pack(pack(noise + key)))
+    yield "".join(f"%{b:02X}" for b in gzip.compress(key))
+    yield "".join(f"\\x{b:02x}" for b in gzip.compress(key))
+    yield "".join(f"\\u{b:04x}" for b in zlib.compress(key))
+    yield json.dumps(gzip.compress(noise + key).decode("latin-1"))
+    yield quote(zlib.compress(noise + key))
+    yield b64(zlib.compress(b"a long text. " * 2000 + key + b" and more. " * 2000))
+    yield b64(gzip.compress(noise + key)[:-4])
+
+
+@pytest.mark.parametrize("wrapped", list(packed_and_odd()))
+def test_layers_are_scanned_whole(wrapped):
+    text = f"é before {wrapped} after"
+    _, spans, _ = secrets.scan(text, secrets.ScanParams(max_expanded=1000))
+    start, _, end = next(s for s in spans if s[1] == 0)
+    assert 9 <= start < end <= 9 + len(wrapped)
+
+
+def test_expanded_pieces_cut_no_secret():
+    for gap in range(900, 1100, 7):
+        wrapped = base64.b64encode(zlib.compress(b". " * (gap // 2) + b"password" + b" " * gap + b"= 'abcdefgh'" + b" ." * 900)).decode()
+        assert [s for s in secrets.scan(wrapped, secrets.ScanParams(max_expanded=1000))[1] if s[1] == 0]
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(zlib.compress(b"a" * 10_000_000)).decode()
     assert secrets.scan(bomb, secrets.ScanParams(max_expanded=1000))[2] >= 1

@@ -7,14 +7,18 @@ scanned and unwrapped like the text, until nothing new appears; layers seen befo
 Spans found in a layer are mapped back to the code points of the text that they were decoded
 from.  An escaped byte is a character of its own, as all that is looked for is ASCII.
 
-Edge cases: a null text is an empty text; data that decodes to no valid text is no layer;
-decompression stops after ``max_expanded`` bytes of one stream, against bombs, and what came
-out until then is scanned; rows are independent, so repeated rows repeat their result.
+Bytes are scanned whatever they are, each as a character.  Compressed data may begin anywhere in
+decoded bytes, also in escaped ones, and all members that follow each other are read.  What
+they expand to is scanned to its end, in pieces that overlap and cut no token, so memory stays
+small; time grows with what comes out.
+
+Edge cases: a null text is an empty text; decoded bytes that are no UTF-8 and hold nothing don't
+count as a layer; a token of over ``max_expanded`` characters within expanded data is scanned in
+pieces of about that length; rows are independent, so repeated rows repeat their result.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -22,6 +26,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,11 +49,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 UNI_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+#: Escapes as they stand in written bytes.
+BYTE_ESCAPE = re.compile(UNI_ESCAPE.pattern[:-1] + r"""|([abfnrtv0\\"'/]))""")
+SIMPLE = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0"))
+#: Heads of gzip, zlib, bzip2 and xz.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+RUN = re.compile(rb"[^ \t\r\n\"'<>]*")
+SPACES = re.compile(rb"\x20{64,}")
+#: What a token, also one in lines or of escapes, consists of.
+UNCUT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-%\\{} \t\r\n"
 
 
 @dataclass(frozen=True)
 class ScanParams:
     max_expanded: int = 64 << 20
+    piece: int = 4 << 20
+    overlap: int = 4096
 
 
 class Layer:
@@ -58,10 +74,10 @@ class Layer:
     character ``places[k]`` is the parent's stretch ``escapes[k]``, all others are the parent's own.
     """
 
-    __slots__ = ("escapes", "parent", "places", "span", "text")
+    __slots__ = ("counts", "escapes", "parent", "places", "span", "text")
 
-    def __init__(self, text, span=None, parent=None, places=(), escapes=()):
-        self.text, self.span, self.parent, self.places, self.escapes = text, span, parent, places, escapes
+    def __init__(self, text, span=None, parent=None, places=(), escapes=(), counts=True):
+        self.text, self.span, self.parent, self.places, self.escapes, self.counts = text, span, parent, places, escapes, counts
 
     def _behind(self, i: int) -> tuple[int, int]:
         k = bisect_right(self.places, i) - 1
@@ -95,55 +111,118 @@ def _tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
-def _expand(data: bytes, limit: int) -> bytes | None:
-    """The first stream of a known format, or None if it is none."""
-    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-        opened = zlib.decompressobj()
-    elif data[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor()
-    else:
-        return None
+def _opener(head: bytes):
+    if head[:1] == b"x":
+        return zlib.decompressobj()
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor()
+
+
+class _Stream:
+    """What the members at the start of ``parts`` expand to, in parts; then ``rest`` follows them, or is None if they broke off."""
+
+    def __init__(self, parts: Iterable[bytes], size: int):
+        self.parts, self.size, self.rest = iter(parts), size, None
+
+    def __iter__(self) -> Iterator[bytes]:
+        rest = b""
+        while True:
+            while len(rest.lstrip(b"\0")) < 6 and (more := next(self.parts, b"")):
+                rest += more
+            # Members may have padding between them.
+            if not PACKED.match(member := rest.lstrip(b"\0")):
+                self.rest = rest
+                return
+            opened, rest = _opener(member), member
+            try:
+                while not opened.eof:
+                    out = opened.decompress(rest, self.size)
+                    rest = getattr(opened, "unconsumed_tail", b"")
+                    if out:
+                        yield out
+                    elif not rest and not opened.eof and not (rest := next(self.parts, b"")):
+                        return
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            rest = opened.unused_data
+
+
+def _pieces(parts: Iterable[bytes], params: ScanParams) -> Iterator[bytes]:
+    held, fresh, overlap = b"", 0, min(params.overlap, params.max_expanded // 2)
+    for part in parts:
+        # Any number of spaces may stand around the sign of an assignment.
+        held = SPACES.sub(b" ", held + part)
+        fresh += len(part)
+        if fresh < min(params.piece, params.max_expanded):
+            continue
+        token = len(held.rstrip(UNCUT))
+        whole = len(held) - token < params.max_expanded
+        if whole and token == 0:
+            continue
+        yield held
+        held, fresh = held[max(0, min(token if whole else len(held), len(held) - overlap)) :], 0
+    if fresh:
+        yield held
+
+
+def _expanded(make: Callable[[], _Stream], span: tuple[int, int], params: ScanParams, above: tuple[bytes, ...] = ()) -> Iterator[Layer]:
+    """Layers of a stream that ``make`` begins anew, and of the streams that it expands to."""
+    head = next(iter(make()), None)
+    # A stream that expands to itself ends here.
+    if head is None or (key := hashlib.sha256(head).digest()) in above:
+        return
+    for piece in _pieces(make(), params):
+        yield Layer(piece.decode("latin-1"), span=span)
+    if PACKED.match(head):
+        yield from _expanded(lambda: _Stream(make(), params.piece), span, params, (*above, key))
+
+
+def _packed(data: bytes, at: Callable[[int, int], tuple[int, int]], params: ScanParams) -> Iterator[Layer]:
+    """Layers of compressed data anywhere in ``data``; ``at`` gives the span of its bytes i to j."""
+    end, size = 0, min(params.piece, params.max_expanded)
+    for m in PACKED.finditer(data):
+        start = m.start()
+        if start < end:
+            continue
+        make = lambda start=start: _Stream([data[start:]], size)
+        stream, some = make(), False
+        for _ in stream:
+            some = True
+        if some:
+            # Data that breaks off goes as far as its run.
+            end = len(data) - len(stream.rest) if stream.rest is not None else RUN.match(data, start).end()
+            yield from _expanded(make, at(start, end), params)
+
+
+def _valid(data: bytes) -> bool:
     try:
-        return opened.decompress(data, limit) or None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-
-
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
+        data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        return False
+    return True
 
 
-def _unwrap_token(layer: Layer, i: int, j: int, limit: int) -> Layer | None:
+def _unwrap_token(layer: Layer, i: int, j: int, params: ScanParams) -> Iterator[Layer]:
     token = layer.text[i:j].rstrip("=").replace("-", "+").replace("_", "/")
     if len(token) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    seen: set[bytes] = set()
-    while (inner := _expand(data, limit)) is not None and data not in seen:
-        seen.add(data)
-        data = inner
-    text = _as_text(data)
-    return Layer(text, span=layer.at(i, j)) if text else None
+        return
+    data = binascii.a2b_base64(token + "=" * (-len(token) % 4))
+    span = layer.at(i, j)
+    yield Layer(data.decode("latin-1"), span=span, counts=_valid(data))
+    yield from _packed(data, lambda i, j: span, params)
 
 
 def _unescape(layer: Layer, escape: re.Pattern) -> Layer | None:
     """The whole layer with its escapes decoded, one character each."""
     out, places, escapes, end, n = [], [], [], 0, 0
     for m in escape.finditer(layer.text):
-        code = int(next(filter(None, m.groups())), 16)
+        if escape is BYTE_ESCAPE and m[4]:
+            char = SIMPLE.get(m[4], m[4])
+        else:
+            char = chr(code) if (code := int(next(filter(None, m.groups())), 16)) < 0x110000 else "?"
         n += m.start() - end
-        out += [layer.text[end : m.start()], chr(code) if code < 0x110000 else "?"]
+        out += [layer.text[end : m.start()], char]
         places.append(n)
         escapes.append(m.span())
         n, end = n + 1, m.end()
@@ -152,6 +231,20 @@ def _unescape(layer: Layer, escape: re.Pattern) -> Layer | None:
     return Layer("".join([*out, layer.text[end:]]), parent=layer, places=places, escapes=escapes)
 
 
+def _children(layer: Layer, tokens: list[tuple[int, int]], params: ScanParams) -> Iterator[Layer]:
+    for i, j in tokens:
+        yield from _unwrap_token(layer, i, j, params)
+    for sign, escape, as_bytes in (("%", URL_ESCAPE, URL_ESCAPE), ("\\", UNI_ESCAPE, BYTE_ESCAPE)):
+        if sign in layer.text and (child := _unescape(layer, escape)):
+            yield child
+            written = child if as_bytes is escape else _unescape(layer, as_bytes)
+            yield from _packed(written.text.encode("latin-1", "replace"), written.at, params)
+
+
+def _key(text: str) -> str | bytes:
+    return text if len(text) < 4096 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def scan(text: str | None, params: ScanParams = ScanParams()) -> tuple[list, list, int]:
     """(base spans, all spans, layers decoded); a span is (start, kind number, end), sorted."""
     text = text or ""
@@ -160,23 +253,24 @@ def scan(text: str | None, params: ScanParams = ScanParams()) -> tuple[list, lis
     found = set(base)
     if not tokens and "%" not in text and "\\" not in text:
         return base, base, 0
-    work, seen, decoded = [Layer(text)], {text}, 0
+    # Children are made one at a time, so of expanded data only a piece is held at each depth.
+    seen, decoded = {_key(text)}, 0
+    work = [_children(Layer(text), tokens, params)]
     while work:
-        layer = work.pop()
-        own = tokens if layer.text is text else _tokens(layer.text)
-        if layer.text is not text:
-            decoded += 1
-            found.update((s, kind, e) for i, kind, j in base_spans(layer.text, own) for s, e in [layer.at(i, j)])
-        new = [_unwrap_token(layer, i, j, params.max_expanded) for i, j in own]
-        if "%" in layer.text:
-            new.append(_unescape(layer, URL_ESCAPE))
-        if "\\" in layer.text:
-            new.append(_unescape(layer, UNI_ESCAPE))
-        for child in new:
-            # The same layer at another place has spans of its own.
-            if child is not None and (key := (child.text, child.at(0, len(child.text)) if child.text else None)) not in seen:
-                seen.add(key)
-                work.append(child)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        # The same layer at another place has spans of its own.
+        key = (_key(layer.text), layer.at(0, len(layer.text)) if layer.text else None)
+        if key in seen:
+            continue
+        seen.add(key)
+        own = _tokens(layer.text)
+        spans = base_spans(layer.text, own)
+        decoded += layer.counts or bool(spans)
+        found.update((s, kind, e) for i, kind, j in spans for s, e in [layer.at(i, j)])
+        work.append(_children(layer, own, params))
     return base, sorted(found), decoded
 
 
