@@ -113,6 +113,28 @@ def test_layers_are_scanned_whole(wrapped):
     assert 9 <= start < end <= 9 + len(wrapped)
 
 
+def unaligned():
+    b64 = lambda x: base64.b64encode(x).decode()
+    for before in ("https://a.example.com/cb/", "session_", "id-", "x", "xy", "xyz", "a/", "ab_-", "some/long/path/of/a-file_"):
+        yield before, b64(b"password=hunter2hunter")
+        yield before, b64(gzip.compress(b"password=hunter2hunter"))
+    noise = random.Random(5).randbytes(400)
+    for data in (b"user=someone, and a long text before it, password=hunter2hunter", gzip.compress(noise + KEY.encode())):
+        for width in (76, 64, 10):
+            for end in ("\n", "\r\n", "\n    "):
+                yield "below:\n", end.join(re.findall(f".{{1,{width}}}", b64(b"." * 12 + data if data[:2] != b"\x1f\x8b" else data)))
+    yield "see below\n", "\n".join(re.findall(".{1,76}", b64(gzip.compress(noise + KEY.encode()))))
+
+
+@pytest.mark.parametrize("before, wrapped", list(unaligned()))
+def test_base64_behind_other_characters_and_in_lines(before, wrapped):
+    text = f"é {before}{wrapped}"
+    _, spans, _ = secrets.scan(text)
+    start, _, end = max(s for s in spans if s[1] == 0)
+    assert end in (len(text), len(text.rstrip("="))) and 2 <= start
+    assert start >= 2 + len(before) - len(re.split(r"[\s:]", before)[-1])
+
+
 def test_expanded_pieces_cut_no_secret():
     for gap in range(900, 1100, 7):
         wrapped = base64.b64encode(zlib.compress(b". " * (gap // 2) + b"password" + b" " * gap + b"= 'abcdefgh'" + b" ." * 900)).decode()

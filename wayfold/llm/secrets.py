@@ -7,6 +7,10 @@ scanned and unwrapped like the text, until nothing new appears; layers seen befo
 Spans found in a layer are mapped back to the code points of the text that they were decoded
 from.  An escaped byte is a character of its own, as all that is looked for is ASCII.
 
+A base64 token is read from each of its first four characters, so that what comes before a secret
+(a path, a prefix) doesn't shift it, and tokens that only line breaks separate are also read as
+one.  A find behind such a beginning reaches from its own first character to the token's end.
+
 Bytes are scanned whatever they are, each as a character.  Compressed data may begin anywhere in
 decoded bytes, also in escaped ones, and all members that follow each other are read.  What
 they expand to is scanned to its end, in pieces that overlap and cut no token, so memory stays
@@ -49,6 +53,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 URL_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
 UNI_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
+#: Lines of base64: tokens that only line breaks separate.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+NO_TOKEN = str.maketrans("-_", "+/", " \t\r\n")
 #: Escapes as they stand in written bytes.
 BYTE_ESCAPE = re.compile(UNI_ESCAPE.pattern[:-1] + r"""|([abfnrtv0\\"'/]))""")
 SIMPLE = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0"))
@@ -70,14 +77,15 @@ class ScanParams:
 class Layer:
     """Decoded text; ``at(i, j)`` is the span of the root text behind its characters i to j.
 
-    A layer has one ``span`` for all of it, or is its ``parent`` with escapes decoded: the
-    character ``places[k]`` is the parent's stretch ``escapes[k]``, all others are the parent's own.
+    A layer has one ``span`` for all of it, or a function ``behind`` for that, or is its
+    ``parent`` with escapes decoded: the character ``places[k]`` is the parent's stretch ``escapes[k]``, all others are the parent's own.
     """
 
-    __slots__ = ("counts", "escapes", "parent", "places", "span", "text")
+    __slots__ = ("behind", "counts", "escapes", "parent", "places", "span", "text")
 
-    def __init__(self, text, span=None, parent=None, places=(), escapes=(), counts=True):
-        self.text, self.span, self.parent, self.places, self.escapes, self.counts = text, span, parent, places, escapes, counts
+    def __init__(self, text, span=None, parent=None, places=(), escapes=(), counts=True, behind=None):
+        self.text, self.span, self.parent, self.places, self.escapes = text, span, parent, places, escapes
+        self.counts, self.behind = counts, behind
 
     def _behind(self, i: int) -> tuple[int, int]:
         k = bisect_right(self.places, i) - 1
@@ -90,6 +98,8 @@ class Layer:
     def at(self, i: int, j: int) -> tuple[int, int]:
         layer = self
         while layer.span is None and layer.parent is not None:
+            if layer.behind:
+                return layer.behind(i, j)
             i, j = layer._behind(i)[0], layer._behind(j - 1)[1]
             layer = layer.parent
         return layer.span or (i, j)
@@ -204,13 +214,22 @@ def _valid(data: bytes) -> bool:
 
 
 def _unwrap_token(layer: Layer, i: int, j: int, params: ScanParams) -> Iterator[Layer]:
-    token = layer.text[i:j].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(token) % 4 == 1:
-        return
-    data = binascii.a2b_base64(token + "=" * (-len(token) % 4))
-    span = layer.at(i, j)
-    yield Layer(data.decode("latin-1"), span=span, counts=_valid(data))
-    yield from _packed(data, lambda i, j: span, params)
+    """Layers of the token or lines at i to j, read in each of the four alignments."""
+    written = layer.text[i:j].rstrip("=")
+    token = written.translate(NO_TOKEN)
+    lines = [k for k, c in enumerate(written) if not c.isspace()] if len(token) < len(written) else range(len(written))
+    for first in range(min(4, len(token))):
+        own = token[first:]
+        if len(own) % 4 == 1:
+            own = own[:-1]
+        data = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+
+        def at(a: int, b: int, first: int = first) -> tuple[int, int]:
+            # Of a token read from its start, all of it.
+            return layer.at(i + (lines[first + a * 4 // 3] if first or lines[-1] >= len(lines) else 0), j)
+
+        yield Layer(data.decode("latin-1"), parent=layer, behind=at, counts=_valid(data))
+        yield from _packed(data, at, params)
 
 
 def _unescape(layer: Layer, escape: re.Pattern) -> Layer | None:
@@ -232,7 +251,8 @@ def _unescape(layer: Layer, escape: re.Pattern) -> Layer | None:
 
 
 def _children(layer: Layer, tokens: list[tuple[int, int]], params: ScanParams) -> Iterator[Layer]:
-    for i, j in tokens:
+    in_lines = [m.span() for m in LINES.finditer(layer.text) if m.end() - m.start() >= 16] if "\n" in layer.text else []
+    for i, j in tokens + in_lines:
         yield from _unwrap_token(layer, i, j, params)
     for sign, escape, as_bytes in (("%", URL_ESCAPE, URL_ESCAPE), ("\\", UNI_ESCAPE, BYTE_ESCAPE)):
         if sign in layer.text and (child := _unescape(layer, escape)):
@@ -251,7 +271,7 @@ def scan(text: str | None, params: ScanParams = ScanParams()) -> tuple[list, lis
     tokens = _tokens(text)
     base = sorted(base_spans(text, tokens))
     found = set(base)
-    if not tokens and "%" not in text and "\\" not in text:
+    if not tokens and "%" not in text and "\\" not in text and not ("\n" in text and LINES.search(text)):
         return base, base, 0
     # Children are made one at a time, so of expanded data only a piece is held at each depth.
     seen, decoded = {_key(text)}, 0
