@@ -66,3 +66,12 @@ def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontaminate(docs([(1, "a b"), (2, None)]), none).collect()] == [False, False]
     assert decontaminate(docs([]), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_items_without_an_id_hit_and_count_as_one(spark, docs):
+    rows = [(1, "a1 b1 c1 d1"), (2, "x a1 b1 y c1"), (3, "a1 c1 b1"), (4, "k1 l1")]
+    table = spark.createDataFrame([(None, "a1 b1"), (None, "c1 d1"), (7, "b1 c1 d1"), (8, "k1 l1")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate(docs(rows), table).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (4, 2, sha("7"), True), 2: (2, 1, sha(""), True), 3: (0, 0, sha(""), False), 4: (2, 1, sha("8"), True)}
+    assert [r["doc_id"] for r in drop_contaminated(docs(rows), table).collect()] == [3]

@@ -18,7 +18,8 @@ Neither pass shuffles texts.  The bitmap's size is bounded (``max_bits``): a lar
 makes it pass more false matches, which the join drops.  Joins are left to Spark to plan.
 
 Edge cases: a null or empty text has no words and is clean; items without words have no
-windows; equal items count each under their own item_id, rows with one item_id count once;
+windows; equal items count each under their own item_id, rows with one item_id count once; items
+without an item_id count as one, which the list of ids leaves out;
 repeated documents are judged row by row; further columns are not read.
 """
 
@@ -59,7 +60,7 @@ def _shingled(df: DataFrame, source: str, upto: int) -> DataFrame:
 
 def windows(items: DataFrame, p: DecontaminationParams) -> tuple[DataFrame, DataFrame]:
     """(window, length, k, shingle, offset) of each distinct window; (window, item_id)."""
-    own = items.where("item_id is not null").select("item_id", words("text").alias("w")).where("size(w) > 0")
+    own = items.select("item_id", words("text").alias("w")).where("size(w) > 0")
     own = own.withColumn("length", F.least(F.size("w"), F.lit(p.window)))
     spread = own.select("item_id", "length", "w", F.explode(F.expr("sequence(1, size(w) - length + 1)")).alias("s"))
     spread = spread.select("item_id", "length", F.slice("w", F.col("s"), F.col("length")).alias("w")).withColumn("window", F.array_join("w", " "))
@@ -169,11 +170,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminationPara
     """row_key, doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
     scanned, occurrences = find_windows(docs, items, params)
     hit = occurrences.groupBy("row").agg(
-        F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids")
+        F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"),
+        F.max(F.col("item_id").isNull().cast("int")).alias("nameless"),
     ).select(
         "row",
         F.expr("cast(size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1))))) as bigint)").alias("n_hit"),
-        F.size("ids").cast("long").alias("n_items"),
+        (F.size("ids") + F.col("nameless")).cast("long").alias("n_items"),
         F.array_join(F.array_sort("ids"), ",").alias("ids"),
     )
     out = scanned.select("row", "row_key", "doc_id", "n_words").join(hit, "row", "left")
