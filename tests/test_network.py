@@ -8,6 +8,7 @@ import types
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold import facade
 from wayfold.operators import access, flow, impedance, pathjoin, routes, topology, trips
 from wayfold.params import Settings, export_project
 from wayfold.plans import queries
@@ -133,6 +134,21 @@ def test_flow_loads_both_snap_edges_with_all_trips(spark, lattice):
     assert not flow.delivered(sent, via).first()["gap"]
 
 
+def test_flow_trees_reach_as_far_as_the_detour_budget(spark):
+    # Two ways of 2,900 and 3,300; the budget is 1.2 x 2,920, and the longer way's far end is beyond radius + buffer.
+    rows = [(k, u, v, w, w) for k, (u, v, w) in enumerate([(0, 1, 20.0), (1, 2, 2900.0), (1, 3, 50.0), (3, 2, 3250.0), (2, 4, 20.0)])]
+    edges = spark.createDataFrame(rows, EDGE)
+    o, d = points(spark, rows, [(1, 10.0, 0, 10.0)]), points(spark, rows, [(2, 1.0, 4, 10.0)])
+    arcs, flows = topology.arcs(edges), []
+    for buffer in (100.0, 5000.0):
+        s = Settings(search_radius=3000.0, flow_decay=False, flow_detour_ratio=1.2, flow_detour_buffer=buffer, flow_node_flow=False)
+        network = types.SimpleNamespace(arcs=arcs, edges=edges)
+        session = types.SimpleNamespace(settings=s, network=network, pairs=pathjoin.od(o, d, arcs, 3000.0), origins=o, destinations=d)
+        flows.append({r["edge_id"]: r["flow"] for r in facade.run_flow(session)["edge_flow"].collect()})
+    assert flows[0] == pytest.approx(flows[1]) and flows[0][2] > 0
+    assert [flow.tree_radius(Settings(search_radius=3000.0, flow_detour_ratio=1.2, flow_detour_mode=m)) for m in ("ratio", "buffer", "min")] == [3600.0, 3100.0, 3100.0]
+
+
 def test_all_paths_of_a_lattice_and_the_cap(spark, lattice):
     edges, _, rows = lattice
     arcs = topology.arcs(edges)

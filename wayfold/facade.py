@@ -144,7 +144,7 @@ def run_flow(session: Session) -> dict[str, DataFrame]:
         if s.flow_routes:
             out["routes"] = found
     else:
-        forward, backward = flow.trees(session.origins, session.destinations, arcs, s.search_radius + s.flow_detour_buffer)
+        forward, backward = flow.trees(session.origins, session.destinations, arcs, flow.tree_radius(s))
         via = stage(flow.via_arcs(sent, session.origins, session.destinations, arcs, forward, backward, s), "via")
         by_edge, by_node = flow.load(via, session.origins, session.destinations, forward, backward)
     out["edge_flow"] = stage(flow.undirected(by_edge, n.edges), "edge-flow")

@@ -538,7 +538,7 @@ def percent_ranks(c: City) -> DataFrame:
 
 def _flow(c: City):
     arcs = _arcs(c)
-    forward, backward = flow.trees(c.origins, c.destinations, arcs, float(R))
+    forward, backward = flow.trees(c.origins, c.destinations, arcs, flow.tree_radius(S))
     t = _once(trips.trips(_od(c), c.origins, c.destinations, S), "trips")
     via = _once(flow.via_arcs(t, c.origins, c.destinations, arcs, forward, backward, S), "via")
     return t, via, forward, backward
