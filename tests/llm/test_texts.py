@@ -229,6 +229,15 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, docs):
     assert [r["score"] for r in none] == [0.0, 0.0]
 
 
+def test_features_come_from_all_documents_whatever_the_sample(spark, docs):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"word{rnd.randrange(200)}" for _ in range(12))) for i in range(900)]
+    rows += [(1000 + i, " ".join([f"word{rnd.randrange(200)}" for _ in range(12)] + [f"vile{i % 3}"])) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    few, all_ = (toxicity.learn(docs(rows), labels, toxicity.ToxicityParams(max_features=40, steps=3, max_unlabelled=n)) for n in (50, 100_000))
+    assert few.features == all_.features and len(few.features) > 3
+
+
 # ---------------------------------------------------------------- sharding
 
 def test_shards_are_even_gapless_and_keep_groups(docs):

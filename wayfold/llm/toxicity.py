@@ -6,8 +6,9 @@ is kept from going negative (Kiryo et al., 2017): where the corrected risk of th
 class falls below zero, the step goes the other way.
 
 Features are presences: of words, and of their first four and five characters, which stand for
-families of forms.  Those that are enriched in the positives are counted over the sample and
-the most telling ones kept; a linear model over them is fitted in numpy on the driver.
+families of forms.  Those of the positives are counted over all documents outside the held-out
+fold as well, and the most telling ones kept; a linear model over them is fitted in numpy on
+the driver.
 
 Samples and vocabulary have documented bounds (``ToxicityParams``); every document is scored
 on its whole text.  Rows are chosen by hashes of doc_id, so a rerun learns the same.
@@ -179,8 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
     if not candidates:
         candidates = {r["feature"]: r["n"] for r in _counts(positives, None).orderBy(F.desc("n"), "feature").limit(p.max_features).collect()}
     index = {f: i for i, f in enumerate(sorted(candidates))}
-    background = {r["feature"]: r["n"] for r in _counts(unlabelled, index).collect()}
-    n_pos, n_unl = min(sizes["toxic"], p.max_positive), max(1, min(n_pool, p.max_unlabelled))
+    background = {r["feature"]: r["n"] for r in _counts(pool, index).collect()}
+    n_pos, n_unl = min(sizes["toxic"], p.max_positive), max(1, n_pool)
     telling = {f: n / n_pos * np.log((n / n_pos) / ((background.get(f, 0) + 0.5) / n_unl)) for f, n in candidates.items()}
     best = sorted((f for f in telling if telling[f] > 0), key=lambda f: (-telling[f], f))[: p.max_features]
     features = {f: i for i, f in enumerate(best)}
