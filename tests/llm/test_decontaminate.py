@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from wayfold.llm.decontaminate import DecontaminationParams, decontaminate, drop_contaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -49,7 +52,7 @@ def test_matches_brute_force(spark, docs):
     rows, items = fixture()
     table = spark.createDataFrame(items, "item_id long, text string")
     for p in (DecontaminationParams(), DecontaminationParams(max_bits=64)):
-        got = decontaminate(docs(rows), table, p).drop("row_key").collect()
+        got = decontaminate(docs(rows), table, p).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, items)
 
 
@@ -75,3 +78,27 @@ def test_items_without_an_id_hit_and_count_as_one(spark, docs):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {1: (4, 2, sha("7"), True), 2: (2, 1, sha(""), True), 3: (0, 0, sha(""), False), 4: (2, 1, sha("8"), True)}
     assert [r["doc_id"] for r in drop_contaminated(docs(rows), table).collect()] == [3]
+
+
+@pytest.mark.parametrize("bits", [1 << 22, 64])
+def test_further_columns_of_any_name_stay_as_they_are(spark, docs, bits):
+    rows, items = fixture()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    own = docs(rows)
+    for name in ("row_key", "body", "n_words", "window", "__w", "a.b"):
+        own = own.withColumn(name, F.concat(F.lit("own "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    got = drop_contaminated(own, table, DecontaminationParams(max_bits=bits))
+    assert got.columns == own.columns
+    clean = {str(r[0]) for r in brute(rows, items) if not r[5]}
+    want = [tuple(r) for r in own.collect() if str(r["doc_id"]) in clean]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("bits", [1 << 22, 64])
+def test_very_long_texts_and_passages_of_many_rows_and_items(spark, docs, bits):
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"{passage} {i} tail") for i in range(30)] + [(100 + i, passage) for i in range(30)]
+    rows = [(i, f"{i} lead {passage} out {i % 3}") for i in range(90)] + [(1000, "filler words " * 40_000 + passage + " filler" * 20_000), (1001, "filler words " * 50_000)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate(docs(rows), table, DecontaminationParams(max_bits=bits)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, items)

@@ -5,22 +5,28 @@ the set of its short word shingles; a text that contains the window contains all
 so by the prefix principle at full containment one of them is enough to look for: the one
 that is rarest in the corpus, counted over all documents.
 
-1.  Shingle hashes of the benchmark make a bitmap, held as a literal.  Each document filters its
-    own shingles through it, so what leaves the row is little more than true matches; counts
-    of those give the order by rarity.
-2.  The rarest shingle of each window is its prefix; a window whose rarest shingle is nowhere is
+1.  Shingle hashes of the benchmark make a bitmap (two places each), held as a literal.  Each
+    document filters its own shingles through it, so what leaves the row is little more than
+    true matches; counts of those give the order by rarity.
+2.  The rarest shingle of each window is its prefix; a window that lacks a shingle everywhere is
     dropped.  A second pass over the documents emits matches of prefixes with the words around.
 3.  Joined with the prefixes, a match gives the only place where the window can start; places
     that would reach over either end of the document are dropped (positional and length
     bounds), and the words themselves are compared with the window's.
+4.  Documents with the same windows share their list of items, which is gathered once for each set
+    of windows, so neither a passage of very many documents nor one of very many items multiplies.
 
-Neither pass shuffles texts.  The bitmap's size is bounded (``max_bits``): a larger benchmark
-makes it pass more false matches, which the join drops.  Joins are left to Spark to plan.
+Neither pass shuffles texts.  A benchmark of so many shingles that a bitmap of ``max_bits`` would
+let through much else is joined instead: documents are numbered in a table of the shared folder,
+their shingles meet the prefixes in a join, and the rows that have candidates are joined with those
+to compare the words.  The results are the same.
 
 Edge cases: a null or empty text has no words and is clean; items without words have no
 windows; equal items count each under their own item_id, rows with one item_id count once; items
-without an item_id count as one, which the list of ids leaves out;
-repeated documents are judged row by row; further columns are not read.
+without an item_id count as one, which the list of ids leaves out; empty tables of documents or
+items give no rows or no hits; very long texts are read whole;
+repeated documents are judged row by row; further columns are not read, and kept as they are by
+``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.skew import join_by_count
 from wayfold.plans.staging import stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,78 +79,68 @@ def windows(items: DataFrame, p: DecontaminationParams) -> tuple[DataFrame, Data
     return stage(each, "decon-windows"), stage(of, "decon-items")
 
 
-def find_windows(docs: DataFrame, items: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> tuple[DataFrame, DataFrame]:
-    """The documents as (row, row_key, doc_id, n_words, ...), staged, and the occurrences.
+def _scanned(docs: DataFrame, ks: list[int], find) -> tuple[DataFrame, Column]:
+    """``docs`` with __w, n_words and the shingles, and all that ``find(k)`` finds among those of k words."""
+    out = docs.withColumn("__w", words("text")).withColumn("n_words", F.size("__w").cast("long"))
+    return _shingled(out, "__w", max(ks, default=1)), F.concat(*map(find, ks))
 
-    Occurrences are (row, start, length, window, item_id); ``row`` numbers the staged rows and
-    ``row_key`` hashes doc_id and text.
-    """
-    table, of = windows(items, p)
-    ks = sorted(r["k"] for r in table.select("k").distinct().collect())
-    inner = docs.select("doc_id", "text")
-
-    def scanned(shingles: DataFrame, keep_places: bool) -> tuple[DataFrame, list[Column]]:
-        test = _Bits(shingles, p)
-        out = inner.withColumn("__w", words("text"))
-        out = _shingled(out.withColumn("n_words", F.size("__w").cast("long")), "__w", max(ks, default=1))
-        found = []
-        for k in ks:
-            if keep_places:
-                places = F.filter(F.expr(f"sequence(0, size(__s{k}) - {k})"), _at(test, k))
-                found.append(F.when(F.size(f"__s{k}") >= k, places).otherwise(F.array().cast("array<int>")))
-            else:
-                found.append(F.filter(F.expr(f"slice(__s{k}, 1, greatest(size(__s{k}) - {k - 1}, 0))"), test))
-        return out, found
-
-    out, found = scanned(table, False)
-    seen = out.select(F.explode(F.concat(*found) if found else F.array().cast("array<bigint>")).alias("shingle"))
+
+def _prefixes(table: DataFrame, seen: DataFrame) -> DataFrame:
+    """(window, length, shingle, offset) of the rarest shingle of each window that may occur; ``seen`` has the documents' shingles."""
     counts = seen.groupBy("shingle").agg(F.count("*").alias("times")).join(table.select("shingle").distinct(), "shingle")
-    prefixes = stage(
-        table.join(counts, "shingle").groupBy("window", "length").agg(
-            F.min(F.struct("times", "shingle", "offset", "k")).alias("rarest"), F.count("*").alias("present"), F.first("k").alias("k"))
-        # All shingles of a window occur somewhere, or the window occurs nowhere.
-        .where("present = length - k + 1")
-        .select("window", "length", "rarest.shingle", "rarest.offset"),
-        "decon-prefixes",
-    )
-    out, found = scanned(prefixes, True)
+    rarest = F.min(F.struct("times", "shingle", "offset")).alias("rarest")
+    found = table.join(counts, "shingle").groupBy("window", "length").agg(rarest, F.count("*").alias("present"), F.first("k").alias("k"))
+    # All shingles of a window occur somewhere, or the window occurs nowhere.
+    return stage(found.where("present = length - k + 1").select("window", "length", "rarest.shingle", "rarest.offset"), "decon-prefixes")
+
+
+def _placed(matches: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``matches`` (row, n_words, place, shingle, ...) with the windows that they may be a part of, and where those start."""
+    met = matches.join(prefixes, "shingle").withColumn("start", F.col("place") - F.col("offset"))
+    return met.where("start >= 0 and start + length <= n_words")
+
+
+def _by_bitmap(docs: DataFrame, table: DataFrame, ks: list[int], p: DecontaminationParams) -> tuple[DataFrame, DataFrame]:
+    test = _Bits(table, p)
+    out, found = _scanned(docs, ks, lambda k: F.filter(F.expr(f"slice(__s{k}, 1, greatest(size(__s{k}) - {k - 1}, 0))"), test))
+    prefixes = _prefixes(table, out.select(F.explode(found).alias("shingle")))
+    test = _Bits(prefixes, p)
     around = p.window - 1
-    matches = []
-    for k, places in zip(ks, found):
-        matches.append(F.transform(places, _match(k, around, 2 * around + p.shingle)))
-    none = F.array().cast("array<struct<place:int,shingle:bigint,first:int,near:array<string>>>")
-    scanned_docs = stage(
-        out.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "n_words",
-                   (F.concat(*matches) if matches else none).alias("matches")),
-        "decon-scanned",
-    )
-    placed = scanned_docs.where("size(matches) > 0").select("row", "n_words", F.explode("matches").alias("m")).select("row", "n_words", "m.*")
-    occurrences = (
-        placed.join(prefixes, "shingle").withColumn("start", F.col("place") - F.col("offset"))
-        .where("start >= 0 and start + length <= n_words")
-        .where(F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.col("length")), " ") == F.col("window"))
-        .select("row", "start", "length", "window").join(of, "window")
-    )
-    return scanned_docs, occurrences
 
+    def matches(k: int) -> Column:
+        own = F.when(F.size(f"__s{k}") >= k, F.filter(F.expr(f"sequence(0, size(__s{k}) - {k})"), lambda i: test(F.get(F.col(f"__s{k}"), i))))
+        return F.transform(F.coalesce(own, F.array().cast("array<int>")), match(k))
 
-def _at(test: _Bits, k: int):
-    return lambda i: test(F.get(F.col(f"__s{k}"), i))
+    def match(k: int):
+        def of(i: Column) -> Column:
+            first = F.greatest(i - around, F.lit(0))
+            near = F.slice(F.col("__w"), first + 1, F.lit(2 * around + k))
+            return F.struct(i.alias("place"), F.get(F.col(f"__s{k}"), i).alias("shingle"), first.alias("first"), near.alias("near"))
 
+        return of
 
-def _match(k: int, before: int, length: int):
-    """What a match at place i carries: its shingle and the words around it."""
+    out, found = _scanned(docs, ks, matches)
+    scanned = stage(out.select(F.monotonically_increasing_id().alias("row"), *docs.drop("text").columns, "n_words", found.alias("matches")), "decon-scanned")
+    placed = _placed(scanned.where("size(matches) > 0").select("row", "n_words", F.explode("matches").alias("m")).select("row", "n_words", "m.*"), prefixes)
+    own = F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.col("length")), " ")
+    return scanned.drop("matches"), placed.where(own == F.col("window")).select("row", "start", "length", "window")
 
-    def match(i: Column) -> Column:
-        first = F.greatest(i - before, F.lit(0))
-        near = F.slice(F.col("__w"), first + 1, F.lit(length))
-        return F.struct(i.alias("place"), F.get(F.col(f"__s{k}"), i).alias("shingle"), first.alias("first"), near.alias("near"))
 
-    return match
+def _by_join(docs: DataFrame, table: DataFrame, ks: list[int], p: DecontaminationParams) -> tuple[DataFrame, DataFrame]:
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "decon-rows")
+    whole = lambda k: F.expr(f"transform(slice(__s{k}, 1, greatest(size(__s{k}) - {k - 1}, 0)), (x, i) -> struct(i as place, x as shingle))")
+    out, found = _scanned(rows.select("row", "text"), ks, whole)
+    each = out.select("row", "n_words", F.explode(found).alias("m")).select("row", "n_words", "m.*")
+    prefixes = _prefixes(table, each.select("shingle"))
+    may = _placed(each, prefixes).groupBy("row").agg(F.collect_set(F.struct("start", "length", "window")).alias("may"))
+    worded = rows.select("row", "text").join(may, "row").select("row", words("text").alias("__w"), "may")
+    true = F.filter("may", lambda m: F.array_join(F.slice(F.col("__w"), m["start"] + 1, m["length"]), " ") == m["window"])
+    occurrences = worded.select("row", F.explode(true).alias("m")).select("row", "m.*")
+    return rows.select(*rows.drop("text").columns, F.size(words("text")).cast("long").alias("n_words")), occurrences
 
 
 class _Bits:
-    """Tests a shingle hash against the bitmap of a table's ``shingle`` column."""
+    """Tests a shingle hash against the bitmap of a table's ``shingle`` column, in two places."""
 
     def __init__(self, shingles: DataFrame, p: DecontaminationParams):
         n = shingles.select("shingle").distinct().count()
@@ -151,7 +148,7 @@ class _Bits:
         while self.bits < min(64 * n, p.max_bits):
             self.bits *= 2
         rows = (
-            shingles.select(F.pmod("shingle", F.lit(self.bits)).alias("place"))
+            shingles.select(F.explode(F.array(*self._places(F.col("shingle")))).alias("place"))
             .select(F.floor(F.col("place") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
         )
@@ -161,33 +158,63 @@ class _Bits:
         # Folded into one literal array when the query is optimized.
         self.literal = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
 
+    def _places(self, x: Column) -> tuple[Column, Column]:
+        """``bits`` is a power of two, so its lower and higher bits are two independent numbers."""
+        return x.bitwiseAND(F.lit(self.bits - 1)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(self.bits - 1))
+
     def __call__(self, x: Column) -> Column:
-        place = F.pmod(x, F.lit(self.bits))
-        return F.getbit(F.get(self.literal, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+        one, two = (F.getbit(F.get(self.literal, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1 for place in self._places(x))
+        return one & two
+
+
+def find_windows(docs: DataFrame, items: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` (text and whatever is to be kept), their occurrences and the items of windows.
+
+    Rows come without the text but with ``row``, which numbers them, and n_words; occurrences are (row, start,
+    length, window), each once, and the last table is (window, item_id).
+    """
+    table, of = windows(items, p)
+    ks = sorted(r["k"] for r in table.select("k").distinct().collect())
+    if not ks:
+        rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *docs.drop("text").columns, F.size(words("text")).cast("long").alias("n_words")), "decon-scanned")
+        return rows, table.select(F.lit(0).alias("row"), F.lit(0).alias("start"), "length", "window").limit(0), of
+    # With a bit in 16 set at most, one of 256 other shingles passes.
+    by = _by_bitmap if 32 * table.select("shingle").distinct().count() <= p.max_bits else _by_join
+    rows, occurrences = by(docs, table, ks, p)
+    return rows, stage(occurrences, "decon-occurrences"), of
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
-    """row_key, doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
-    scanned, occurrences = find_windows(docs, items, params)
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
+    rows, occurrences, of = find_windows(docs.select("doc_id", "text"), items, params)
+    covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1)))))")
     hit = occurrences.groupBy("row").agg(
-        F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"),
-        F.max(F.col("item_id").isNull().cast("int")).alias("nameless"),
-    ).select(
-        "row",
-        F.expr("cast(size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.length - 1))))) as bigint)").alias("n_hit"),
-        (F.size("ids") + F.col("nameless")).cast("long").alias("n_items"),
-        F.array_join(F.array_sort("ids"), ",").alias("ids"),
+        F.collect_set(F.struct("start", "length")).alias("spans"), F.sort_array(F.collect_set(F.xxhash64("window"))).alias("windows")
+    ).select("row", covered.cast("long").alias("n_hit"), "windows", F.sha2(F.array_join(F.col("windows").cast("array<string>"), ","), 256).alias("set"))
+    hit = stage(hit, "decon-hit")
+    # The items of each set of windows, once.
+    sets = hit.groupBy("set").agg(F.count("*").alias("rows"), F.first("windows").alias("windows"))
+    listed = (
+        sets.select("set", "rows", F.explode("windows").alias("window")).join(of.select(F.xxhash64("window").alias("window"), "item_id"), "window")
+        .groupBy("set").agg(
+            F.first("rows").alias("rows"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"),
+            F.max(F.col("item_id").isNull().cast("int")).alias("nameless"),
+        )
+        .select("set", "rows", (F.size("ids") + F.col("nameless")).cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("sha"))
     )
-    out = scanned.select("row", "row_key", "doc_id", "n_words").join(hit, "row", "left")
+    of_row = join_by_count(hit.select("row", "n_hit", "set"), stage(listed, "decon-sets"), "set", hit.count(), "rows")
+    out = rows.join(of_row, "row", "left")
     return out.select(
-        "row_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The rows of ``docs`` without any window of an item, with all columns."""
-    found = decontaminate(docs, items, params).where("contaminated").select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(found, "row_key", "left_anti").select(docs.columns)
+    # Within a struct, as further columns may have any name.
+    body = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")
+    rows, occurrences, _ = find_windows(docs.select(body, "text"), items, params)
+    return rows.join(occurrences.select("row").distinct(), "row", "left_anti").select("body.*")
