@@ -10,8 +10,8 @@ key, the seed and the place in the text only: any executor, partitioning or retr
 same.
 
 Short stretches of known characters are sampled by inverting one uniform number, which makes each segmentation
-an interval of [0, 1); intervals met once are remembered, so common words cost a lookup.
-Others draw a number for every step, in logarithms.
+an interval of [0, 1); intervals met once are remembered, and all stretches of a batch are looked up
+among them at once.  Others draw a number for every step, in logarithms.
 
 A character that is no piece goes out as its UTF-8 bytes, and so does U+2581, the mark that
 pieces write for a space: decoding gives back the text, bit by bit.
@@ -25,10 +25,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wayfold.llm.arrow import map_batches
@@ -44,13 +46,19 @@ class PieceParams:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     sharpness: float = 5e-4
     seed: int = 1
-    remembered: int = 200_000
+    remembered: int = 300_000
     short: int = 40
 
 
+_BASE, _SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(44)
+
+
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Codec:
     def __init__(self, params: PieceParams = PieceParams()):
-        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=params.model)
@@ -74,82 +82,109 @@ class Codec:
         self.log = {t: params.sharpness * max(floor, s) for (t, _), s in zip(usual.items(), scores)}
         self.ids = {t: (i,) for t, i in usual.items()}
         self.single = {t for t in usual if len(t) == 1}
-        self.automaton = ahocorasick.Automaton()
-        for t, x in self.log.items():
-            self.automaton.add_word(t, (len(t), math.exp(x), self.ids[t]))
-        self.automaton.make_automaton()
+        self.length = np.array([len(t) for t in self.log], np.int64)
+        self.weight = np.array([math.exp(x) for x in self.log.values()])
+        self.id = np.array([self.ids[t][0] for t in self.log], np.int64)
         self.fallback = params.sharpness * floor
         self.longest = max(map(len, usual))
+        self.signs = np.zeros((len(self.log), self.longest), np.uint32)
+        hashes = np.zeros(len(self.log), np.uint64)
+        for k, t in enumerate(self.log):
+            self.signs[k, : len(t)] = _signs(t)
+        for column, live in zip(self.signs.T, np.arange(self.longest)[:, None] < self.length):
+            hashes[live] = hashes[live] * _BASE + column[live]
+        self.by_hash = np.argsort(hashes)
+        self.hashes = hashes[self.by_hash]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(hashes * _SPREAD) >> _SHIFT] = True
         self.whole = any(" " in t.lstrip(" ") for t in usual)  # then pieces cross stretches
         within = set().union(*usual)
         alone = [c for c in map(chr, range(128)) if c not in within]
+        self.between = next(c for c in map(chr, (*range(128), *range(0xE000, 0xF900))) if c not in within)
         # No piece reaches over a character that is in none: those of ASCII are stretches of their own.
         cut = re.escape("".join(alone))
         self.stretch = re.compile(f" +[^ {cut}]*|[^ {cut}]+|[{cut}]" if cut else STRETCH)
-        self.fixed: dict[str, tuple | list] = {c: (0.0, 1.0, (self.byte_ids[ord(c)],)) for c in alone}
-        self.memory, self.old = self.fixed.copy(), {}
+        self.fixed = {c: (self.byte_ids[ord(c)],) for c in alone}
+        self._forget()
 
     def _edge_ids(self, piece: str) -> tuple[int, ...]:
         return self.ids.get(piece) or tuple(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def _invert(self, s: str, u: float) -> tuple[float, float, tuple[int, ...]]:
-        """The interval of [0, 1) around u that one segmentation fills, and its ids.
-
-        Every character of s is a piece.  The automaton finds all pieces in s, in the order of
-        their ends, in one pass; ``mass`` is that of all segmentations up to each place.
+    def _pieces(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces in a text of ``signs``: where they end, in order, and which they are; of equal ends the longest first."""
+        h, ends, which = np.zeros(len(signs), np.uint64), [], []
+        for n in range(1, min(self.longest, len(signs)) + 1):
+            h = h[: len(signs) - n + 1] * _BASE + signs[n - 1 :]
+            start = np.flatnonzero(self.maybe[(h * _SPREAD) >> _SHIFT])
+            at = np.minimum(np.searchsorted(self.hashes, h[start]), len(self.hashes) - 1)
+            piece = self.by_hash[at]
+            true = (self.hashes[at] == h[start]) & (self.length[piece] == n)
+            start, piece = start[true], piece[true]
+            true = (signs[start[:, None] + np.arange(n)] == self.signs[piece, :n]).all(axis=1)
+            ends.append(start[true] + n)
+            which.append(piece[true])
+        to = np.concatenate(ends[::-1])
+        order = np.argsort(to, kind="stable")
+        return to[order], np.concatenate(which[::-1])[order]
+
+    def _invert(self, words: list[str], of: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of [0, 1) around each u that one segmentation of ``words[of]`` fills: low, high, how many ids, and all ids.
+
+        Every character of the words is a piece; ``mass`` is that of all segmentations up to each place.
+        Words are filtered forwards side by side, character by character, and sampled backwards
+        piece by piece.
         """
-        edges = list(self.automaton.iter(s))
-        mass = [1.0] + [0.0] * len(s)
-        for end, (length, weight, _) in edges:
-            mass[end + 1] += mass[end + 1 - length] * weight
-        j, k, low, width, out = len(s), len(edges) - 1, 0.0, 1.0, ()
-        while j:
-            while edges[k][0] >= j:
-                k -= 1
-            total = mass[j]
-            target, below = (u - low) / width * total, 0.0
-            while True:
-                length, weight, ids = edges[k][1]
-                share = mass[j - length] * weight
-                if target < below + share or not k or edges[k - 1][0] != j - 1:
-                    break
-                below += share
-                k -= 1
-            low += below / total * width
-            width *= share / total
-            out = ids + out
-            j -= length
-        return low, low + width, out
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        to, piece = self._pieces(_signs(self.between.join(words)))
+        source, weight = to - self.length[piece], self.weight[piece]
+        size = int(lengths.sum()) + len(words)
+        mass = np.zeros(size + 1)
+        mass[starts] = 1.0
+        level = (to - np.repeat(starts, lengths + 1)[to - 1]).astype(np.uint16)
+        order = np.argsort(level, kind="stable")
+        for edges in np.split(order, np.cumsum(np.bincount(level)[:-1])):
+            np.add.at(mass, to[edges], mass[source[edges]] * weight[edges])
+        last = np.cumsum(np.bincount(to, minlength=size + 1)) - 1
+        low, width, n = np.zeros(len(u)), np.ones(len(u)), np.zeros(len(u), np.int64)
+        live, j, steps = np.arange(len(u)), (starts + lengths)[of], []
+        while len(live):
+            total, below = mass[j], np.zeros(len(live))
+            target, k, first = (u[live] - low[live]) / width[live] * total, last[j], last[j - 1]
+            share = mass[source[k]] * weight[k]
+            more = np.flatnonzero((target >= below + share) & (k - 1 > first))
+            while len(more):
+                below[more] += share[more]
+                k[more] -= 1
+                share[more] = mass[source[k[more]]] * weight[k[more]]
+                more = more[(target[more] >= below[more] + share[more]) & (k[more] - 1 > first[more])]
+            low[live] += below / total * width[live]
+            width[live] *= share / total
+            steps.append((live, self.id[piece[k]]))
+            n[live] += 1
+            j = source[k]
+            on = j > starts[of[live]]
+            live, j = live[on], j[on]
+        ids, at = np.empty(int(n.sum()), np.int64), np.cumsum(n)
+        for back, (who, chosen) in enumerate(steps, 1):
+            ids[at[who] - back] = chosen
+        return low, low + width, n, ids
 
     def _forget(self) -> None:
-        """A full memory becomes the old one; what is met again moves back."""
-        self.old, self.memory = self.memory, self.fixed.copy()
-
-    def _short(self, s: str, u: float) -> tuple[int, ...]:
-        known = self.memory.get(s)
-        if known is None:
-            if len(self.memory) >= self.params.remembered:
-                self._forget()
-            known = self.old.get(s)
-            if known is None:
-                self.memory[s] = one = self._invert(s, u)
-                return one[2]
-            self.memory[s] = known
-        if type(known) is tuple:  # one interval so far
-            if known[0] <= u < known[1]:
-                return known[2]
-            known = self.memory[s] = [[known[0]], [known[1]], [known[2]]]
-        lows, highs, found = known
-        k = bisect_right(lows, u) - 1
-        if k >= 0 and u < highs[k]:
-            return found[k]
-        low, high, ids = self._invert(s, u)
-        if low <= u < high:
-            k = bisect_right(lows, low)
-            lows.insert(k, low)
-            highs.insert(k, high)
-            found.insert(k, ids)
-        return ids
+        """Starts the memory anew with what has one way only."""
+        self.code: dict[str, int] = {c: k for k, c in enumerate(self.fixed)}
+        self.pool = np.array([ids[0] for ids in self.fixed.values()], np.int64)
+        self.at = np.arange(len(self.fixed))
+        self.n = np.ones(len(self.fixed), np.int64)
+        self.key, self.low, self.high = np.arange(len(self.fixed), dtype=float), np.zeros(len(self.fixed)), np.ones(len(self.fixed))
+
+    def _remember(self, code: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Intervals stand sorted by code and lower end, for lookups of a whole batch at once."""
+        key, order = np.unique(np.concatenate([self.key, code + low]), return_index=True)
+        at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+        self.key, self.at, self.n = key, at[order], np.concatenate([self.n, n])[order]
+        self.low, self.high = np.concatenate([self.low, low])[order], np.concatenate([self.high, high])[order]
+        self.pool = np.concatenate([self.pool, ids])
 
     def _long(self, s: str, rng: np.random.Generator) -> list[int]:
         log, longest = self.log, self.longest
@@ -173,46 +208,85 @@ class Codec:
         return [i for piece in reversed(out) for i in self._edge_ids(piece)]
 
     def encode(self, text: str, key: object) -> list[int]:
-        if not text:
-            return []
-        seed = hashlib.blake2b(f"{self.params.seed}:{key}".encode(), digest_size=8).digest()
-        rng = np.random.Generator(np.random.PCG64(int.from_bytes(seed, "big")))
-        text = " " + text
-        stretches = [text] if self.whole else self.stretch.findall(text)
-        out: list[int] = []
-        short, single = self.params.short, self.single
-        for s, u in zip(stretches, rng.random(len(stretches)).tolist()):
-            known = self.memory.get(s)
-            if type(known) is tuple and known[0] <= u < known[1]:
-                out.extend(known[2])
-            elif known is not None or (len(s) <= short and single.issuperset(s)):
-                out.extend(self._short(s, u))
+        return self.encode_batch([text], [key])[0].tolist()
+
+    def encode_batch(self, texts: list[str | None], keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and how many each text has."""
+        stretches: list[str] = []
+        rngs, draws, upto = [], [np.empty(0)], []
+        for text, key in zip(texts, keys):
+            if text:
+                seed = hashlib.blake2b(f"{self.params.seed}:{key}".encode(), digest_size=8).digest()
+                rng = np.random.Generator(np.random.PCG64(int.from_bytes(seed, "big")))
+                own = [" " + text] if self.whole else self.stretch.findall(" " + text)
+                stretches += own
+                draws.append(rng.random(len(own)))
+                rngs.append(rng)
             else:
-                out.extend(self._long(s, rng))
-        return out
+                rngs.append(None)
+            upto.append(len(stretches))
+        u, upto = np.concatenate(draws), np.array(upto, np.int64)
+        code = np.fromiter(map(self.code.get, stretches, repeat(-1)), np.int64, len(stretches))
+        # Where the interval below a key isn't the one around it, the draw is inverted by itself.
+        k = np.maximum(np.searchsorted(self.key, code + u, side="right") - 1, 0)
+        hit = (np.floor(self.key[k]) == code) & (self.low[k] <= u) & (u < self.high[k])
+        at, n = self.at[k], self.n[k]
+        missed = np.flatnonzero(~hit)
+        words = list(map(stretches.__getitem__, missed.tolist()))
+        short, single = self.params.short, self.single
+        new = [s for s in dict.fromkeys(words) if len(s) <= short and single.issuperset(s)]
+        numbers = {s: k for k, s in enumerate(new)}
+        of = np.fromiter(map(numbers.get, words, repeat(-1)), np.int64, len(words))
+        draw, of, long = missed[of >= 0], of[of >= 0], missed[of < 0].tolist()
+        pool = self.pool
+        if len(draw):
+            low, high, n[draw], ids = self._invert(new, of, u[draw])
+            at[draw] = len(pool) + np.cumsum(n[draw]) - n[draw]
+            pool = np.concatenate([pool, ids])
+            codes = np.array([self.code.setdefault(s, len(self.code)) for s in new], np.int64)[of]
+            fits = (low <= u[draw]) & (u[draw] < high)
+            self._remember(codes[fits], low[fits], high[fits], n[draw][fits], ids[np.repeat(fits, n[draw])])
+        more: list[int] = []
+        for i in long:
+            ids = self._long(stretches[i], rngs[np.searchsorted(upto, i, side="right")])
+            at[i], n[i] = len(pool) + len(more), len(ids)
+            more += ids
+        pool = np.concatenate([pool, np.array(more, np.int64)])
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = pool[np.arange(total) + np.repeat(at - (ends - n), n)].astype(np.int32)
+        if len(self.code) >= self.params.remembered:
+            self._forget()
+        return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], upto])])
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids))
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "surrogatepass")
 
 
+@lru_cache(maxsize=2)
+def _codec(params: PieceParams) -> Codec:
+    """One codec for all tasks of a worker, which so share its memory."""
+    return Codec(params)
+
+
 def encode_pieces(docs: DataFrame, params: PieceParams = PieceParams(), key: str = "doc_id") -> DataFrame:
     """doc_id, piece_ids, n_pieces, and lossless: whether decoding gave the text back."""
 
     def make():
-        codec = Codec(params)
+        codec = _codec(params)
 
         def work(batch):
-            ids, n, lossless = [], [], []
-            for k, text in zip(batch[key].to_pylist(), batch["text"].to_pylist()):
-                if text is None:
-                    ids.append(None), n.append(None), lossless.append(None)
-                    continue
-                got = codec.encode(text, k)
-                ids.append(np.array(got, np.int32))
-                n.append(len(got))
-                lossless.append(codec.decode(got) == text)
-            return {"doc_id": batch["doc_id"], "piece_ids": ids, "n_pieces": n, "lossless": lossless}
+            texts = batch["text"].to_pylist()
+            ids, n = codec.encode_batch(texts, batch[key].to_pylist())
+            upto = [0, *np.cumsum(n).tolist()]
+            null = np.array([t is None for t in texts], bool)
+            flat = ids.tolist()
+            back = (codec.decode(flat[a:b]) for a, b in zip(upto, upto[1:]))
+            return {
+                "doc_id": batch["doc_id"], "piece_ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32(), mask=np.append(null, False)), pa.array(ids)),
+                "n_pieces": pa.array(n, pa.int64(), mask=null), "lossless": [None if t is None else t == b for t, b in zip(texts, back)],
+            }
 
         return work
 
@@ -223,7 +297,7 @@ def decode_pieces(encoded: DataFrame, params: PieceParams = PieceParams()) -> Da
     """doc_id and text of (doc_id, piece_ids)."""
 
     def make():
-        codec = Codec(params)
+        codec = _codec(params)
 
         def work(batch):
             return {"doc_id": batch["doc_id"], "text": [None if x is None else codec.decode(x) for x in batch["piece_ids"].to_pylist()]}
