@@ -96,4 +96,19 @@ def test_one_document_of_each_group_stays(spark, docs):
     rows = [(10, "a b c d e f"), (10, "a b c d e f"), (11, "a b c d e f"), (12, "g h i j k l"), (13, None), (None, "a b c d e f")]
     got = drop_near_duplicates(docs(rows))
     assert got.columns == docs(rows).columns
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(10, "a b c d e f"), (12, "g h i j k l"), (13, None), (None, "a b c d e f")], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(10, "a b c d e f"), (12, "g h i j k l"), (13, None)], key=str)
+    none = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, "")]
+    assert sorted((str(r["text"]) for r in drop_near_duplicates(docs(none)).collect())) == ["", "None", "a b c d e f"]
+
+
+def test_hubs_with_many_leaves_are_dealt_out(spark, docs):
+    rows = corpus(3)
+    assert as_rows(near_duplicates(docs(rows), DedupParams(shingle=2, leaves=2))) == brute(rows, 2)
+
+
+def test_rows_without_ids_meet_no_other_rows(spark, docs):
+    rows = corpus(4)
+    unnamed = [(None, t) for _, t in rows] + [(7, t) for _, t in rows[:40]]
+    assert as_rows(near_duplicates(docs(unnamed))) == brute(unnamed, 5)
+    many = [(None, f"{k} words that are not those of any other row {k} {k}") for k in range(20_000)]
+    assert sorted(r["text"] for r in drop_near_duplicates(docs(many, extra=False)).collect()) == sorted(t for _, t in many)

@@ -18,6 +18,10 @@
 What can be missed is a pair that meets in no bucket: at a similarity of 0.8,
 ``(1 - 0.8 ** rows) ** bands``, 3e-6 with the defaults, and less for closer pairs.
 
+Rows are numbered in a table of the shared folder first: what is joined again later is joined
+by that number, so neither null nor repeated ids make a hot key or multiply rows.  A hub with many
+leaves is dealt out under several salts, ``leaves`` of them each.
+
 Edge cases: null and empty texts have empty sets and are linked with nothing; a text of
 fewer words than a shingle is one shingle; rows with the same doc_id are judged each by its own
 text; a null doc_id never names a component and is kept only if nothing in its group has an
@@ -46,14 +50,16 @@ _N = np.uint64(0xC4CEB9FE1A85EC53)
 
 @dataclass(frozen=True)
 class DedupParams:
-    """Links have ``100 * intersection >= percent * union``.  ``block_tokens`` is how many shingles a block holds in step 5."""
+    """Links have ``100 * intersection >= percent * union``.  ``leaves`` of a hub are confirmed together,
+    and ``block_tokens`` is how many shingles a block holds in step 5."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 24
     rows: int = 4
     seed: int = 1
-    block_tokens: int = 300_000
+    leaves: int = 500
+    block_tokens: int = 100_000
 
 
 def ascii_lower(text: str) -> str:
@@ -148,11 +154,14 @@ def _sketches(docs: DataFrame, p: DedupParams) -> DataFrame:
                 n.append(len(s))
                 node.append(_name(s) if len(s) else None)
                 bands.append(sketcher.keys(sketcher.sketch(s)) if len(s) else None)
-            return {"doc_id": batch["doc_id"], "n_shingles": n, "node": node, "bands": bands}
+            return {"row": batch["row"], "doc_id": batch["doc_id"], "n_shingles": n, "node": node, "bands": bands}
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, bands array<long>")
+    return map_batches(docs.select("row", "doc_id", "text"), make, "row long, doc_id long, n_shingles long, node long, bands array<long>")
+
+
+_HUBS = "array<struct<hub:bigint,salt:int>>"
 
 
 def _sets(texts: DataFrame, p: DedupParams) -> DataFrame:
@@ -164,16 +173,15 @@ def _sets(texts: DataFrame, p: DedupParams) -> DataFrame:
         def work(batch):
             with np.errstate(over="ignore"):
                 sets = [shingles(t, p.shingle, hashes) for t in batch["text"].to_pylist()]
-            tokens = [s.view(np.int64) if len(s) and _name(s) == n else None for s, n in zip(sets, batch["node"].to_pylist())]
-            return {"node": batch["node"], "hubs": batch["hubs"], "tokens": tokens}
+            return {"node": batch["node"], "hubs": batch["hubs"], "tokens": [s.view(np.int64) for s in sets]}
 
         return work
 
-    return map_batches(texts.select("node", "hubs", "text"), make, "node long, hubs array<long>, tokens array<long>").where("tokens is not null")
+    return map_batches(texts.select("node", "hubs", "text"), make, f"node long, hubs {_HUBS}, tokens array<long>")
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """(leaf, hubs) from (node, bands): for each node the hubs of its buckets other than itself."""
+def _stars(nodes: DataFrame, p: DedupParams) -> tuple[DataFrame, DataFrame]:
+    """From (node, bands): (leaf, hub, salt) for each node and the hubs of its buckets other than itself; (hub, salts)."""
     met = nodes.select("node", F.explode("bands").alias("key"))
     sizes = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = stage(met.join(sizes, "key"), "dedup-buckets")
@@ -184,9 +192,10 @@ def _stars(nodes: DataFrame) -> DataFrame:
         .select("key", F.col("top.node").alias("hub"))
     )
     edges = met.select("key", "node").join(hubs, "key").where("node <> hub")
-    out = stage(edges.groupBy(F.col("node").alias("leaf")).agg(F.collect_set("hub").alias("hubs")), "dedup-stars")
+    edges = stage(edges.select(F.col("node").alias("leaf"), "hub").distinct(), "dedup-edges")
     unstage(met)
-    return out
+    salts = stage(edges.groupBy("hub").agg(F.ceil(F.count("*") / p.leaves).cast("int").alias("salts")), "dedup-hubs")
+    return edges.join(salts, "hub").select("leaf", "hub", F.pmod(F.xxhash64("leaf", F.lit(19)), "salts").cast("int").alias("salt")), salts
 
 
 def _linked(p: DedupParams, inter: str = "inter", a: str = "n_a", b: str = "n_b"):
@@ -244,25 +253,22 @@ def _within_stars(confirmed: DataFrame, sets: DataFrame, labels: DataFrame, p: D
     return outside.union(others).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    p = params
-    sketched = stage(_sketches(docs, p), "dedup-sketches")
+def _judged(rows: DataFrame, p: DedupParams) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and root (of the same component; null for empty sets) for each of the numbered ``rows``."""
+    sketched = stage(_sketches(rows, p), "dedup-sketches")
     filled = sketched.where("n_shingles > 0")
-    nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "dedup-nodes")
-    # One row of each node: of those with its smallest doc_id (any, where all are null).
-    bands = filled.join(nodes, "node").where(filled.doc_id.eqNullSafe(nodes.doc_id)).select("node", "bands")
-    stars = _stars(bands.dropDuplicates(["node"]))
-    hubs = stars.select(F.explode("hubs").alias("node")).distinct()
-    wanted = stars.select(F.col("leaf").alias("node"), "hubs").union(hubs.select("node", F.array().cast("array<long>")))
-    wanted = wanted.groupBy("node").agg(F.flatten(F.collect_list("hubs")).alias("hubs")).join(nodes, "node")
-    texts = docs.select("doc_id", "text").join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id))
-    # Repeated rows of a document give a node's set again: hubs once is enough for the join below.
-    sets = stage(_sets(texts, p), "dedup-sets")
-    hub_sets = sets.join(hubs, "node", "left_semi").select(F.col("node").alias("hub"), F.col("tokens").alias("tb")).dropDuplicates(["hub"])
+    # Any row of a node has its set: the first one stands for it.
+    nodes = stage(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")), "dedup-nodes")
+    stars, salts = _stars(filled.join(nodes.select("row"), "row", "left_semi").select("node", "bands"), p)
+    leaves = stars.groupBy(F.col("leaf").alias("node")).agg(F.collect_list(F.struct("hub", "salt")).alias("hubs"))
+    wanted = leaves.join(salts.select(F.col("hub").alias("node"), "salts"), "node", "full")
+    wanted = wanted.join(nodes, "node").select("row", "node", F.coalesce("hubs", F.array().cast(_HUBS)).alias("hubs"), "salts")
+    sets = stage(_sets(rows.select("row", "text").join(wanted, "row"), p), "dedup-sets")
+    salted = salts.select("hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("tb")).join(salted, "hub")
     confirmed = stage(
-        sets.select(F.col("node").alias("leaf"), F.explode("hubs").alias("hub"), F.col("tokens").alias("ta"))
-        .join(hub_sets, "hub")
+        sets.select(F.col("node").alias("leaf"), F.explode("hubs").alias("of"), F.col("tokens").alias("ta")).select("leaf", "of.*", "ta")
+        .join(hub_sets, ["hub", "salt"])
         .select("leaf", "hub", F.size(F.array_intersect("ta", "tb")).cast("long").alias("inter"), F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b")),
         "dedup-confirmed",
     )
@@ -270,24 +276,38 @@ def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> Dat
     labels = components(links)
     more = stage(_within_stars(confirmed, sets, labels, p), "dedup-more")
     unstage(sets)
+    unstage(confirmed)
     if more.limit(1).count():
         labels = components(links.union(more))
+    unstage(links)
+    unstage(more)
     rooted = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = rooted.join(named, "root").select("node", "component_id")
+    by_node = rooted.select("node", "root").join(named, "root")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return sketched.select("doc_id", "n_shingles", "node").join(by_node, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-    )
+    return sketched.select("row", "doc_id", "n_shingles", "node").join(by_node, "node", "left").select("row", "doc_id", "n_shingles", component.alias("component_id"), "root")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "dedup-rows")
+
+
+def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return _judged(_numbered(docs.select("doc_id", "text")), params).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, with all columns.
+    """The rows of ``docs`` that stay, with all columns: one of each group, and all without words.
 
-    Of repeated rows (equal doc_id and text) one stays; rows that share a doc_id but not the
-    text stay or go together.  Rows without doc_id stay, having no name to be dropped by.
+    It is a row with the group's smallest doc_id; the first such row, if there are several, and the
+    first of all, if none has an id.
     """
-    kept = near_duplicates(docs, params).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    # Within a struct, as further columns may have any name.
+    rows = _numbered(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")))
+    names = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    judged = stage(_judged(rows.select("row", "body.doc_id", "body.text"), params).select("row", "root", names.alias("names")), "dedup-judged")
+    chosen = judged.where("root is not null and names").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    kept = chosen.union(judged.where("root is null").select("row"))
+    return rows.join(kept, "row", "left_semi").select("body.*")
