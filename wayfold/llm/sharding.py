@@ -1,18 +1,25 @@
 """Balanced label propagation: linked documents gather in one shard, shards stay even.
 
-Documents with equal texts are linked.  All start in the shard of a hash.  In each round a
-group of linked documents wants the shard where most of its members are, of those that can
-hold it whole; wishes are granted in a fixed order until a shard's quota is full, members of
-granted groups move there, and the others turn to shards with room in the next round, until
-no shard can hold any of them.  Documents without links then fill what is free.  The law is
-``rows``: counts of shards differ by one at most.
+Documents with equal texts are linked: each with its group, so links are as many as rows.  All
+start with the label (shard) of a hash of what they are.  In each round the labels of a group's
+members are counted over the links; the group wants the shard where most of them are, of
+those that can hold it whole; wishes are granted in a fixed order until a shard's quota is
+full.  A join hands the granted labels to the members, and groups that still have cut links
+turn to shards with room in the next round, until no shard can hold any of them.  Documents
+without links then fill what is free.  The law is ``rows``: counts of shards differ by one at
+most.
 
 Groups of over a quarter of a shard (a few for each shard at most) are placed one by one
 before the others: those that fit a quota whole, the largest first, after those that none
 could hold, which fill shard by shard.  What fits nowhere is split over the shards with most
-room.  Ranks and slots never sort a whole shard: rows are numbered within hash buckets, and
-offsets of the buckets (shards times buckets rows, bounded by ``max_buckets``) are joined to
-them.
+room; only its links are cut, and ``apart`` marks the rows beyond them.
+
+Ranks and slots never sort a whole shard: rows are numbered within hash buckets, and
+offsets of the buckets (of a bounded number) are joined to them.  Groups of over one in
+``max_buckets`` rows, fewer than that, are joined by broadcast, so none of them fills a task.
+
+Nothing depends on how the files are split: hashes are of doc_id, text and a number that tells
+equal rows apart.
 
 Edge cases: a null text has size 1 and the checksum of no bytes, and links to other null
 texts; empty texts link to each other; repeated rows are rows of their own; an empty table
@@ -26,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm.skew import split_by_count
 from wayfold.plans.staging import stage
 
 
@@ -40,6 +48,14 @@ def _buckets(n: int, p: ShardParams) -> int:
     return max(8, min(p.max_buckets, -(-n // (p.shards * p.bucket_rows))))
 
 
+#: What a row is; equal rows differ in ``dup``.
+KEY = ["doc_id", "group", "dup"]
+
+
+def _hash(salt: int) -> Column:
+    return F.xxhash64(*KEY, F.lit(salt))
+
+
 def _numbered(rows: DataFrame, by: list[str], key: Column, order: list, buckets: int, weight: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``weight`` over the earlier rows of the same ``by``.
 
@@ -56,6 +72,40 @@ def _numbered(rows: DataFrame, by: list[str], key: Column, order: list, buckets:
     return out.withColumn(name, F.col("__i") + F.col("__o")).drop("__b", "__w", "__i", "__o")
 
 
+def _counted(rows: DataFrame, by: str, n: int, p: ShardParams) -> tuple[DataFrame, DataFrame, int]:
+    """The rows whose ``by`` others have too, with ``n``, how many they are: those of heavy keys, those of others, and the number of heavy keys."""
+    counts = stage(rows.groupBy(by).agg(F.count("*").alias("n")).where("n > 1"), "shards-counts")
+    return *split_by_count(rows, counts, by, n, most=p.max_buckets), counts.where(F.col("n") > n // p.max_buckets).count()
+
+
+def _met(rows: DataFrame, groups: DataFrame, n: int, p: ShardParams, how: str = "inner") -> DataFrame:
+    """Join by ``group`` of rows and groups that both have its size ``n``."""
+    heavy = F.col("n") > n // p.max_buckets
+    few = F.broadcast(groups.where(heavy).drop("n"))
+    return rows.where(heavy).join(few, "group", how).unionByName(rows.where(~heavy).join(groups.where(~heavy).drop("n"), "group", how))
+
+
+def _rows(docs: DataFrame, p: ShardParams) -> tuple[DataFrame, int]:
+    """row, KEY, size and text_crc32 of each row of ``docs``, staged, and how many there are."""
+    text = F.coalesce("text", F.lit(""))
+    base = stage(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+            F.xxhash64(F.col("text").isNull(), "text").alias("group"),
+        ).withColumn("key", F.xxhash64("doc_id", "group")),
+        "shards-rows",
+    )
+    n = base.count()
+    heavy, light, keys = _counted(base, "key", n, p)
+    heavy = _numbered(heavy, ["key"], F.xxhash64("row"), ["row"], max(1, p.shards * p.max_buckets // max(1, keys)), F.lit(1), "dup")
+    light = light.withColumn("dup", F.row_number().over(Window.partitionBy("key").orderBy("row")) - 1)
+    equal = stage(heavy.select("row", F.col("dup").cast("long")).union(light.select("row", F.col("dup").cast("long"))), "shards-equal")
+    if not equal.limit(1).count():
+        return base.withColumn("dup", F.lit(0).cast("long")).drop("key"), n
+    return base.join(equal, "row", "left").fillna(0, ["dup"]).drop("key"), n
+
+
 def _quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
@@ -110,81 +160,76 @@ def _pack(groups: list[tuple[int, int, list[int]]], room: list[int]) -> list[tup
 
 
 def balanced_shards(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of ``docs``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and apart for each row of ``docs``.
+
+    ``apart`` says that the row's shard isn't that of the first of its group: a cut link.
+    """
     p = params
-    text = F.coalesce("text", F.lit(""))
-    base = stage(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            F.xxhash64(F.col("text").isNull(), "text").alias("group"),
-        ).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(p.shards)).cast("int")),
-        "shards-rows",
-    )
-    n = base.count()
+    base, n = _rows(docs, p)
     quotas = _quotas(n, p.shards)
-    groups = base.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    linked = stage(base.select("row", "group", "shard").join(groups, "group"), "shards-linked")
+    start = F.pmod(_hash(5), F.lit(p.shards)).cast("int")
+    heavy, light, _ = _counted(base.select("row", *KEY), "group", n, p)
+    labels = stage(heavy.unionByName(light).withColumn("shard", start), "shards-labels")
 
     room = list(quotas)
     votes = [f"v{s}" for s in range(p.shards)]
-    # Neighbours' shards: members of a group are all linked, so their counts are each member's votes.
-    counted = linked.groupBy("group").agg(
-        F.count("*").alias("n"), *(F.sum((F.col("shard") == s).cast("int")).alias(v) for s, v in enumerate(votes))
-    )
-    counted = stage(counted, "shards-groups")
+
+    def counted(labels: DataFrame) -> DataFrame:
+        """Labels of each group's members: what each of them sees over its links."""
+        of = [F.sum((F.col("shard") == s).cast("int")).alias(v) for s, v in enumerate(votes)]
+        return stage(labels.groupBy("group").agg(F.count("*").alias("n"), *of), "shards-votes")
 
     def packed(big: DataFrame) -> list[tuple[int, int, int, int]]:
         return _pack([(r["group"], r["n"], [r[v] for v in votes]) for r in big.collect()], room)
 
     # More than a quarter of a shard: at most eight groups for each shard.
-    pieces = packed(counted.where(F.col("n") * 4 > quotas[-1]))
-    settled = counted.select("group", F.lit(0).alias("shard")).limit(0)
-    waiting = counted.where(F.col("n") * 4 <= quotas[-1])
+    large = F.col("n") * 4 > quotas[-1]
+    pieces = packed(counted(labels.where(large)))
+    dealt = [_dealt(labels.where(large), pieces, n, p)]
+    waiting = labels.where(~large)
     while True:
-        wishing = stage(waiting.withColumn("wish", _wish(votes, room)), "shards-wishes")
-        count = wishing.where("wish is not null").count()
+        seen = counted(waiting)
+        wishing = stage(seen.withColumn("wish", _wish(votes, room)).where("wish is not null").select("group", "n", "wish"), "shards-wishes")
+        count = wishing.count()
         if not count:
             break
-        ranked = _numbered(
-            wishing.where("wish is not null").select("group", "n", "wish"), ["wish"], F.xxhash64("group", F.lit(3)), [F.desc("n"), "group"],
-            _buckets(count, p), F.col("n"), "before",
-        )
+        ranked = _numbered(wishing, ["wish"], F.xxhash64("group", F.lit(3)), [F.desc("n"), "group"], _buckets(count, p), F.col("n"), "before")
         # The first of each shard's wishes fits, so every round grants some.
         fits = F.col("before") + F.col("n") <= F.element_at(F.array(*map(F.lit, room)), F.col("wish") + 1)
-        granted = stage(ranked.where(fits).select("group", F.col("wish").alias("shard"), "n"), "shards-granted")
-        for r in granted.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-            room[r["shard"]] -= r["n"]
-        settled = settled.union(granted.select("group", "shard"))
-        waiting = wishing.drop("wish").join(granted.select("group"), "group", "left_anti")
+        granted = stage(ranked.where(fits).select("group", F.col("wish").alias("to"), "n"), "shards-granted")
+        for r in granted.groupBy("to").agg(F.sum("n").alias("n")).collect():
+            room[r["to"]] -= r["n"]
+        moved = _met(waiting, granted, n, p).select("row", F.col("to").alias("shard"), F.lit(False).alias("apart"))
+        dealt.append(stage(moved, "shards-moved"))
+        waiting = stage(_met(waiting, granted, n, p, "left_anti"), "shards-waiting")
     # Each is larger than any room that is left, and all together are not: fewer than there are shards.
-    pieces += packed(wishing)
-
-    moved = linked.select("row", "group").join(settled, "group").select("row", "shard").union(_dealt(linked, pieces, n, p))
-    labels = stage(base.drop("shard").join(moved, "row", "left"), "shards-labels")
+    rest = packed(seen)
+    dealt.append(_dealt(waiting, rest, n, p))
+    moved = dealt[0]
+    for more in dealt[1:]:
+        moved = moved.union(more)
+    labels = stage(base.join(moved, "row", "left"), "shards-placed")
     filled = _fill(labels.where("shard is null"), room, n, p)
-    placed = stage(labels.where("shard is not null").unionByName(filled), "shards-placed")
-    out = _numbered(placed, ["shard"], F.xxhash64("row", F.lit(13)), ["row"], _buckets(n, p), F.lit(1), "slot")
+    placed = stage(labels.where("shard is not null").unionByName(filled), "shards-filled")
+    out = _numbered(placed, ["shard"], _hash(13), KEY, _buckets(n, p), F.lit(1), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), F.coalesce("apart", F.lit(False)).alias("apart"),
     )
 
 
-def _dealt(linked: DataFrame, pieces: list[tuple[int, int, int, int]], n: int, p: ShardParams) -> DataFrame:
-    """(row, shard) of the groups that have pieces, their rows in the order of their rank."""
-    spark = linked.sparkSession
+def _dealt(labels: DataFrame, pieces: list[tuple[int, int, int, int]], n: int, p: ShardParams) -> DataFrame:
+    """(row, shard, apart) of the groups that have pieces, their rows in the order of their rank."""
+    spark = labels.sparkSession
     at = F.broadcast(spark.createDataFrame(pieces, "group long, to int, first long, after long"))
-    own = linked.select("row", "group").join(F.broadcast(at.select("group").distinct()), "group")
-    ranked = _numbered(own, ["group"], F.xxhash64("row", F.lit(11)), ["row"], min(p.max_buckets, _buckets(n, p) * p.shards), F.lit(1), "rank")
-    return ranked.join(at, "group").where("rank >= first and rank < after").select("row", F.col("to").alias("shard"))
+    own = labels.select("row", *KEY).join(F.broadcast(at.select("group").distinct()), "group")
+    ranked = _numbered(own, ["group"], _hash(11), KEY, _buckets(n, p) * p.shards, F.lit(1), "rank")
+    return ranked.join(at, "group").where("rank >= first and rank < after").select("row", F.col("to").alias("shard"), (F.col("first") > 0).alias("apart"))
 
 
 def _fill(free: DataFrame, room: list[int], n: int, p: ShardParams) -> DataFrame:
     """Rows without a shard, dealt in the order of their rank to the shards with room."""
-    ranked = _numbered(
-        free.withColumn("all", F.lit(0)), ["all"], F.xxhash64("row", F.lit(7)), ["row"], min(p.max_buckets, _buckets(n, p) * p.shards), F.lit(1), "rank"
-    )
+    ranked = _numbered(free.withColumn("all", F.lit(0)), ["all"], _hash(7), KEY, _buckets(n, p) * p.shards, F.lit(1), "rank")
     shard, upto = F.lit(None).cast("int"), sum(room)
     for s in reversed(range(p.shards)):
         shard = F.when(F.col("rank") < upto, s).otherwise(shard) if room[s] else shard
