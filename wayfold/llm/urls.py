@@ -5,12 +5,16 @@ on the driver, on a bounded sample of them (``max_labelled``), by second-order b
 logistic loss over feature histograms.  The ensemble is emitted as Spark expressions, so
 scoring runs in the JVM in one projection.
 
-Suffix statistics are counted over all rows and joined by suffix; a frequent suffix is one row
-on the counted side, and a skewed join may be split by adaptive execution.
+Statistics of suffixes and first path segments are counted over all rows, by folds of hosts: a
+labelled url gets those of the other folds, so its own label and those of its host are never
+among its features.  Suffixes and segments of very many urls are joined by broadcast.
+
+The driver gets at most about ``max_labelled`` rows of features, and trees of a fixed size leave it.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is judged by
 the trees; with labels of one class only, that class is the verdict; without any,
-``allow``; repeated urls are judged alike; further columns are not read.
+``allow``; an empty table gives no rows; very long urls are read whole; repeated urls are judged alike;
+further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.skew import join_by_count
 from wayfold.plans.staging import stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +47,7 @@ class BoostParams:
     depth: int = 3
     rate: float = 0.2
     bins: int = 32
+    folds: int = 5
     ridge: float = 1.0
     min_rows: int = 5
 
@@ -145,15 +151,15 @@ def boost(x: np.ndarray, y: np.ndarray, p: BoostParams) -> tuple[float, list[Tre
     return start, trees
 
 
-def url_filter(pages: DataFrame, params: BoostParams = BoostParams(), rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and block_score (null where a rule decides) for each row of ``pages``."""
-    p = params
+def featured(pages: DataFrame, p: BoostParams, rules: list[tuple[str, str]]) -> tuple[DataFrame, int, int]:
+    """Each row of ``pages`` with its rule, what that decides, and FEATURES; how many are decided, and how many of them blocked."""
     host, path = host_and_path("url")
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of("host", "path", rules)
     rows = rows.withColumns({"rule": rule, "decided": verdict, "__chars": F.split(F.coalesce("url", F.lit("")), "")})
     rows = rows.withColumns(_lexical("url")).withColumns({
-        "suffix": F.element_at(F.split("host", r"\."), -1), "segment": F.regexp_extract("path", "^/([^/]*)", 1)
+        "suffix": F.element_at(F.split("host", r"\."), -1), "segment": F.regexp_extract("path", "^/([^/]*)", 1),
+        "fold": F.pmod(F.xxhash64("host", F.lit(23)), F.lit(p.folds)).cast("int"),
     })
     rows = stage(rows.drop("__chars", "url"), "urls-rows")
     block, known = (F.col("decided") == "block").cast("int"), F.col("decided").isNotNull().cast("int")
@@ -161,16 +167,29 @@ def url_filter(pages: DataFrame, params: BoostParams = BoostParams(), rules: lis
     n, blocked = overall["n"] or 0, overall["blocked"] or 0
     prior = blocked / n if n else 0.5
 
-    def rates(by: str) -> DataFrame:
-        seen = rows.groupBy(by).agg(F.sum(known).alias("k"), F.sum(F.coalesce(block, F.lit(0))).alias("b"), F.count("*").alias("all"))
-        return seen.select(by, ((F.col("b") + 5 * prior) / (F.col("k") + 5)).alias(f"{by}_blocked"), F.log1p(F.col("all").cast("double")).alias(f"{by}_rows"))
+    total = rows.count()
+
+    def with_rates(to: DataFrame, by: str) -> DataFrame:
+        in_fold = [(F.col("fold") == k).cast("int") for k in range(p.folds)]
+        sums = lambda x: F.array(*(F.sum(F.coalesce(x, F.lit(0)) * i) for i in in_fold))
+        counts = stage(rows.groupBy(by).agg(sums(known).alias("k"), sums(block).alias("b"), F.count("*").alias("n")), "urls-counts")
+        others = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v) - F.when(F.col("decided").isNull(), 0).otherwise(F.get(x, F.col("fold")))
+        met = join_by_count(to, counts, by, total)
+        rate = (others("b") + 5 * prior) / (others("k") + 5)
+        return stage(met.withColumns({f"{by}_blocked": rate, f"{by}_rows": F.log1p(F.col("n").cast("double"))}).drop("k", "b", "n"), "urls-rates")
 
-    full = rows.join(rates("suffix"), "suffix").join(rates("segment").drop("segment_rows"), "segment")
+    return with_rates(with_rates(rows, "suffix"), "segment"), n, blocked
+
+
+def url_filter(pages: DataFrame, params: BoostParams = BoostParams(), rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_score (null where a rule decides) for each row of ``pages``."""
+    p = params
+    full, n, blocked = featured(pages, p, rules)
     if n and 0 < blocked < n:
         labelled = full.where("decided is not null")
         if n > p.max_labelled:
             labelled = labelled.where(F.pmod(F.xxhash64("page_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * p.max_labelled / n))
-        sample = labelled.select(block.alias("y"), *FEATURES).toPandas()
+        sample = labelled.select((F.col("decided") == "block").cast("int").alias("y"), *FEATURES).toPandas()
         start, trees = boost(sample[FEATURES].to_numpy(float), sample["y"].to_numpy(float), p)
         score = F.lit(start)
         for tree in trees:
