@@ -18,7 +18,8 @@ small; time grows with what comes out.
 
 Edge cases: a null text is an empty text; decoded bytes that are no UTF-8 and hold nothing don't
 count as a layer; a token of over ``max_expanded`` characters within expanded data is scanned in
-pieces of about that length; rows are independent, so repeated rows repeat their result.
+pieces of about that length; rows are independent, so repeated rows repeat their result; an empty table
+gives no rows; very long texts are scanned whole, in a time that grows with their length.
 """
 
 from __future__ import annotations
@@ -188,6 +189,14 @@ def _expanded(make: Callable[[], _Stream], span: tuple[int, int], params: ScanPa
         yield from _expanded(lambda: _Stream(make(), params.piece), span, params, (*above, key))
 
 
+def _from(data: bytes, start: int) -> Iterator[bytes]:
+    """``data`` from ``start`` on, in growing parts: most heads break off at once and cost no copy of what follows."""
+    size = 256
+    while start < len(data):
+        yield data[start : start + size]
+        start, size = start + size, min(2 * size, 1 << 20)
+
+
 def _packed(data: bytes, at: Callable[[int, int], tuple[int, int]], params: ScanParams) -> Iterator[Layer]:
     """Layers of compressed data anywhere in ``data``; ``at`` gives the span of its bytes i to j."""
     end, size = 0, min(params.piece, params.max_expanded)
@@ -195,13 +204,13 @@ def _packed(data: bytes, at: Callable[[int, int], tuple[int, int]], params: Scan
         start = m.start()
         if start < end:
             continue
-        make = lambda start=start: _Stream([data[start:]], size)
+        make = lambda start=start: _Stream(_from(data, start), size)
         stream, some = make(), False
         for _ in stream:
             some = True
         if some:
             # Data that breaks off goes as far as its run.
-            end = len(data) - len(stream.rest) if stream.rest is not None else RUN.match(data, start).end()
+            end = len(data) - len(stream.rest) - sum(map(len, stream.parts)) if stream.rest is not None else RUN.match(data, start).end()
             yield from _expanded(make, at(start, end), params)
 
 
