@@ -116,14 +116,15 @@ FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN named ON d.doc_i
 
 _ROTATION_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS body
+  SELECT conv_id, turn, role AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS body
   FROM conversations WHERE conv_id IS NOT NULL
-), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker IS DISTINCT FROM 'system'),
 h AS (
-  SELECT t.conv_id, perspective, turn, speaker, body, speaker = perspective AS own,
-    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+  SELECT t.conv_id, perspective, turn, speaker, body, speaker IS NOT DISTINCT FROM perspective AS own,
+    CASE WHEN speaker IS NOT DISTINCT FROM perspective THEN '<|im_start|>assistant' || chr(10)
          WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
-         ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+         WHEN speaker IS NULL THEN '<|im_start|>user' || chr(10)
+         ELSE '<|im_start|>user name=' || replace(replace(replace(speaker, chr(13), ' '), chr(10), ' '), '<|im_', '<| im_') || chr(10) END AS head
   FROM t JOIN p ON t.conv_id = p.conv_id
 )
 SELECT conv_id, perspective, turn, speaker, head || body || '<|im_end|>' || chr(10) AS rendered, CAST(length(head) AS BIGINT) AS mask_start,
