@@ -10,8 +10,9 @@ that many matrices of ``features`` squared and sorts a fold of that sample; ever
 scored, on statistics of its whole text.
 
 Edge cases: null and empty texts have all-zero statistics and are scored like any other; with
-no usable labels every score is 0.5, with a single class that class's; repeated documents
-score alike; further columns are not read.
+no usable labels every score is 0.5, with a single class that class's; where either fold lacks
+a class, as with a handful of labels, all labelled rows serve as both; an empty table gives no
+rows; very long texts are read whole; repeated documents score alike; further columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def learn(stats: DataFrame, labels: DataFrame, p: RidgeParams = RidgeParams()) -
     rows = stats.join(known, "doc_id").withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0)
     rows = stage(rows.select("label", "calibrate", *names).repartition(p.partitions), "ridge-rows")
     got = rows.agg(
-        F.count("*").alias("n"), F.avg("label").alias("share"),
+        F.count("*").alias("n"), F.avg("label").alias("share"), F.count_distinct("calibrate", "label").alias("kinds"),
         *(F.avg(n).alias(f"m_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names),
     ).first()
     if not got["n"]:
@@ -109,10 +110,11 @@ def learn(stats: DataFrame, labels: DataFrame, p: RidgeParams = RidgeParams()) -
     mean = np.array([got[f"m_{n}"] for n in names])
     scale = np.array([got[f"s_{n}"] or 1.0 for n in names])
     cosines = Cosines(mean, scale, 1 / len(names), p)
+    folds = got["kinds"] == 4
 
     def sums():
         def work(batch):
-            use = ~batch["calibrate"].to_numpy(zero_copy_only=False)
+            use = ~(batch["calibrate"].to_numpy(zero_copy_only=False) & folds)
             z = cosines(_matrix(batch, names))[use]
             y = batch["label"].to_numpy(zero_copy_only=False)[use]
             return {"a": [(z.T @ z).tobytes()], "b": [(z.T @ y).tobytes()]}
@@ -135,9 +137,7 @@ def learn(stats: DataFrame, labels: DataFrame, p: RidgeParams = RidgeParams()) -
     a = sum(np.frombuffer(r["a"]).reshape(width, width) for r in parts)
     b = sum(np.frombuffer(r["b"]) for r in parts)
     weights = np.linalg.solve(a + p.ridge * np.trace(a) / width * np.eye(width), b)
-    fold = rows.where("calibrate").toPandas()
-    if not len(fold):
-        fold = rows.limit(10_000).toPandas()
+    fold = (rows.where("calibrate") if folds else rows).toPandas()
     raw = cosines(fold[names].to_numpy(float)) @ weights
     return Model(cosines, weights, *isotonic(raw, fold["label"].to_numpy(float)))
 
