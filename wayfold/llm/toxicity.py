@@ -13,8 +13,12 @@ the driver.
 Samples and vocabulary have documented bounds (``ToxicityParams``); every document is scored
 on its whole text.  Rows are chosen by hashes of doc_id, so a rerun learns the same.
 
-Edge cases: null and empty texts have no features and get the score of the bias alone; with
-no confirmed positive, every score is 0; repeated documents score alike; further columns
+Words are runs of letters and digits: text written without spaces (Chinese, Japanese) is one word
+between two signs, so there only what stands alone or begins such a run can tell.
+
+Edge cases: null and empty texts have no features and get the score of the bias alone; where no
+confirmed positive is among the documents, or none has a telling word, every score is 0; an empty
+table gives no rows; very long texts are read whole; repeated documents score alike; further columns
 are not read.
 """
 
@@ -160,7 +164,7 @@ def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], width: int,
 
 
 def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> Model | None:
-    """A model from documents outside the held-out fold; None without a confirmed positive."""
+    """A model from documents outside the held-out fold; None without a confirmed positive among them that tells something."""
     known = training_labels(labels, "toxic", p.max_labelled)
     sizes = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not sizes["toxic"]:
@@ -170,6 +174,9 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
     # At most max_positive ids: the texts stay where they are.
     chosen = known.where("label = 1").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(p.max_positive).select("doc_id")
     positives = own.join(F.broadcast(chosen), "doc_id", "left_semi")
+    n_pos = positives.select("doc_id").count()
+    if not n_pos:
+        return None
     pool = own.where(~held_out())
     n_pool = pool.select("doc_id").count()
     unlabelled = _sample(pool, n_pool, p.max_unlabelled, 5)
@@ -181,9 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
         candidates = {r["feature"]: r["n"] for r in _counts(positives, None).orderBy(F.desc("n"), "feature").limit(p.max_features).collect()}
     index = {f: i for i, f in enumerate(sorted(candidates))}
     background = {r["feature"]: r["n"] for r in _counts(pool, index).collect()}
-    n_pos, n_unl = min(sizes["toxic"], p.max_positive), max(1, n_pool)
+    n_unl = max(1, n_pool)
     telling = {f: n / n_pos * np.log((n / n_pos) / ((background.get(f, 0) + 0.5) / n_unl)) for f, n in candidates.items()}
     best = sorted((f for f in telling if telling[f] > 0), key=lambda f: (-telling[f], f))[: p.max_features]
+    if not best:
+        return None
     features = {f: i for i, f in enumerate(best)}
     weights, bias = fit_nnpu(_vectors(positives, features), _vectors(unlabelled, features), len(features), prior, p)
     return Model(features, weights, bias)
