@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import straightness, via_angle
@@ -19,10 +19,15 @@ def with_elevation(arcs: DataFrame, nodes: DataFrame, penalty: float) -> DataFra
     return out.select(*[c for c in arcs.columns if c != "w"], (F.col("w") + penalty * climb).alias("w"))
 
 
+def _direction() -> Column:
+    """What the obstacle holds in: ab, ba, or anything else (nothing, too) for both."""
+    return F.coalesce(F.lower(F.trim("direction")), F.lit("both")).alias("direction")
+
+
 def arc_penalties(obstacles: DataFrame) -> DataFrame:
     """(edge_id, dir, penalty) of obstacles on edges: the sum over those that hold in the direction."""
     both = F.explode(F.array(F.struct(F.lit(0).alias("dir"), F.lit("ab").alias("of")), F.struct(F.lit(1).alias("dir"), F.lit("ba").alias("of"))))
-    rows = obstacles.select("edge_id", "penalty", F.lower(F.trim("direction")).alias("direction"), both.alias("b"))
+    rows = obstacles.select("edge_id", "penalty", _direction(), both.alias("b"))
     held = rows.where((F.col("direction") == F.col("b.of")) | ~F.col("direction").isin("ab", "ba"))
     return held.groupBy("edge_id", F.col("b.dir").alias("dir")).agg(F.sum("penalty").alias("penalty"))
 
@@ -47,7 +52,7 @@ def crossed_between(points: DataFrame, obstacles: DataFrame, leaving: bool) -> D
     destination is reached from the start forwards and from the end backwards.
     """
     to_start, to_end = ("ba", "ab") if leaving else ("ab", "ba")
-    o = obstacles.select("edge_id", F.col("w_start").alias("os"), F.col("w_end").alias("oe"), "penalty", F.lower(F.trim("direction")).alias("direction"))
+    o = obstacles.select("edge_id", F.col("w_start").alias("os"), F.col("w_end").alias("oe"), "penalty", _direction())
     met = points.select("pt_id", "edge_id", "w_start", "w_end").join(o, "edge_id")
 
     def paid(way: str, nearer):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,40 +34,53 @@ def seeds(points: DataFrame) -> DataFrame:
     return points.select(F.col("pt_id").alias("o"), ends.alias("s")).groupBy("o", F.col("s.node").alias("node")).agg(F.min("s.d").alias("d"))
 
 
-def labels(points: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS) -> DataFrame:
+def labels(points: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS, only: DataFrame | None = None) -> DataFrame:
     """(o, node, d): every node within the radius of each point, from the point outwards.
 
-    For distances to points, give the reversed arcs (``reversed_arcs``).
+    For distances to points, give the reversed arcs (``reversed_arcs``).  With ``only`` (node), labels of
+    other nodes are left out of the result.
     """
-    return search(seeds(points), arcs, radius, strategy, max_arcs)
+    return search(seeds(points), arcs, radius, strategy, max_arcs, only)
 
 
-def search(start: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS) -> DataFrame:
+def fits(arcs: DataFrame, strategy: str, max_arcs: int) -> bool:
+    """Whether to search over a shared adjacency: by choice, or where there are few enough arcs."""
     if strategy == "auto":
-        strategy = "arrow" if arcs.limit(max_arcs + 1).count() <= max_arcs else "relational"
-    return {"relational": _relational, "arrow": _arrow}[strategy](start, arcs.select("src", "dst", "w"), radius)
+        return arcs.limit(max_arcs + 1).count() <= max_arcs
+    return {"relational": False, "arrow": True}[strategy]
+
+
+def search(start: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS, only: DataFrame | None = None) -> DataFrame:
+    if fits(arcs, strategy, max_arcs):
+        return _arrow(start, arcs.select("src", "dst", "w"), radius, only)
+    found = _relational(start, arcs.select("src", "dst", "w"), radius)
+    return found if only is None else found.join(only.select("node").distinct(), "node", "left_semi").select("o", "node", "d")
 
 
 def reversed_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.withColumns({"src": F.col("dst"), "dst": F.col("src")})
 
 
-def _relational(start: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
+def _relational(start: DataFrame, arcs: DataFrame, radius: float, parts_at_most: int = 8) -> DataFrame:
+    """Rounds write only the labels that got shorter; what is known is the least of all parts, made one again now and then."""
     arcs = stage(arcs.groupBy("src", "dst").agg(F.min("w").alias("w")), "path-arcs")
-    known = stage(start.where(F.col("d") <= radius), "path-labels")
-    frontier = known
+    frontier = stage(start.where(F.col("d") <= radius), "path-labels")
+    parts = [frontier]
     while True:
+        known = reduce(DataFrame.unionByName, parts).groupBy("o", "node").agg(F.min("d").alias("d"))
         step = frontier.join(arcs, F.col("node") == F.col("src")).select("o", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")).where(F.col("d") <= radius)
         step = step.groupBy("o", "node").agg(F.min("d").alias("new"))
-        merged = stage(
-            known.join(step, ["o", "node"], "full").select("o", "node", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d"))).alias("moved")),
-            "path-labels",
-        )
-        moved = merged.where("moved").limit(1).count()
-        unstage(known)
-        known, frontier = merged.select("o", "node", "d"), merged.where("moved").select("o", "node", "d")
-        if not moved:
-            return known
+        better = step.join(known, ["o", "node"], "left").where("d is null or new < d")
+        frontier = stage(better.select("o", "node", F.col("new").alias("d")), "path-labels")
+        if not frontier.limit(1).count() or len(parts) >= parts_at_most:
+            whole = stage(reduce(DataFrame.unionByName, [*parts, frontier]).groupBy("o", "node").agg(F.min("d").alias("d")), "path-labels")
+            for p in parts:
+                unstage(p)
+            if not frontier.limit(1).count():
+                return whole
+            parts = [whole]
+        else:
+            parts.append(frontier)
 
 
 class Graph:
@@ -108,34 +122,146 @@ class Graph:
         return best
 
 
-def _arrow(start: DataFrame, arcs: DataFrame, radius: float) -> DataFrame:
-    spark = start.sparkSession
-    table = arcs.toPandas()
-    shared = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("src", "dst", "w")))
+#: Rows that a Python task holds before it hands them on.
+_HELD = 100_000
+
+
+def shared_graph(arcs: DataFrame, columns: tuple[str, ...]):
+    """A function that gives the Graph of ``arcs`` in a Python task, built once in each."""
+    table = arcs.select(*columns).toPandas()
+    shared = arcs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in columns))
     built: list[Graph] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def graph() -> Graph:
         if not built:
             built.append(Graph(*shared.value))
-        graph = built[0]
+        return built[0]
+
+    return graph
+
+
+def _starts(graph: Graph, own: list[dict], radius: float) -> tuple[list[tuple[int, float]], dict[int, float]]:
+    """Seeds by node position, and those at nodes that no arc touches, by node."""
+    begin, outside = [], {}
+    for s in own:
+        k = graph.position(s["node"])
+        if k is not None:
+            begin.append((k, s["d"]))
+        elif s["d"] <= radius:
+            outside[s["node"]] = min(s["d"], outside.get(s["node"], np.inf))
+    return begin, outside
+
+
+def _arrow(start: DataFrame, arcs: DataFrame, radius: float, only: DataFrame | None) -> DataFrame:
+    graph = shared_graph(arcs, ("src", "dst", "w"))
+    wanted = None
+    if only is not None:
+        # At most as many as the arcs have ends.
+        ends = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        wanted = arcs.sparkSession.sparkContext.broadcast(only.select("node").distinct().join(ends, "node", "left_semi").toPandas()["node"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = graph()
+        names = g.names
+        kept = None if wanted is None else set(np.searchsorted(g.ids, wanted.value).tolist())
+        o, node, d = [], [], []
+
+        def held() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(node, pa.int64()), pa.array(d, pa.float64())], ["o", "node", "d"])
+            o.clear(), node.clear(), d.clear()
+            return out
+
         for batch in batches:
-            o, node, d = [], [], []
             for origin, own in zip(batch.column("o").to_pylist(), batch.column("s").to_pylist()):
-                begin, outside = [], []
-                for s in own:
-                    k = graph.position(s["node"])
-                    (outside if k is None else begin).append((s["node"] if k is None else k, s["d"]))
-                found = graph.within(begin, radius)
-                o += [origin] * len(found)
-                node += [graph.names[k] for k in found]
+                begin, outside = _starts(g, own, radius)
+                found = g.within(begin, radius)
+                if kept is not None:
+                    found = {k: x for k, x in found.items() if k in kept}
+                o += [origin] * (len(found) + len(outside))
+                node += [names[k] for k in found]
+                node += outside
                 d += found.values()
-                for n, x in outside:
-                    if x <= radius:
-                        o.append(origin), node.append(n), d.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(node, pa.int64()), pa.array(d, pa.float64())], ["o", "node", "d"])
+                d += outside.values()
+                if len(o) >= _HELD:
+                    yield held()
+        yield held()
 
     each = start.groupBy("o").agg(F.collect_list(F.struct("node", "d")).alias("s"))
-    return each.mapInArrow(run, "o long, node long, d double")
+    out = each.mapInArrow(run, "o long, node long, d double")
+    # Seeds at nodes without arcs come whatever is wanted.
+    return out if only is None else out.join(only.select("node").distinct(), "node", "left_semi").select("o", "node", "d")
+
+
+_PATH = "array<struct<edge_id:bigint,dir:int,node:bigint>>"
+
+
+def trees(points: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS) -> DataFrame:
+    """(o, node, d, pred, root, path): labels with the arcs (edge_id, dir, node reached) from a seed to them.
+
+    Predecessors are those of ``predecessors``.  One pass where the adjacency is shared; else rounds of joins.
+    """
+    return trees_from(seeds(points), arcs, radius, strategy, max_arcs)
+
+
+def trees_from(start: DataFrame, arcs: DataFrame, radius: float, strategy: str = "auto", max_arcs: int = MAX_ARCS) -> DataFrame:
+    """``trees`` from seeds (o, node, d)."""
+    if not fits(arcs, strategy, max_arcs):
+        return paths(stage(_relational(start, arcs.select("src", "dst", "w"), radius), "path-labels"), arcs)
+    graph = shared_graph(arcs, ("src", "dst", "w", "edge_id", "dir"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, held = graph(), _Paths()
+        for batch in batches:
+            for origin, own in zip(batch.column("o").to_pylist(), batch.column("s").to_pylist()):
+                begin, outside = _starts(g, own, radius)
+                found = g.within(begin, radius)
+                came: dict[int, tuple] = {}
+                for a, d in found.items():
+                    for k in range(g.first[a], g.first[a + 1]):
+                        b = g.dst[k]
+                        if found.get(b) == d + g.w[k]:
+                            this = (g.names[a], g.edge[k], g.way[k], a)
+                            if b not in came or this < came[b]:
+                                came[b] = this
+                roots: dict[int, int] = {}
+                path: dict[int, list] = {}
+                for k in sorted(found, key=found.get):
+                    if k in came:
+                        name, edge, way, before = came[k]
+                        roots[k], path[k] = roots[before], [*path[before], (edge, way, g.names[k])]
+                    else:
+                        name, roots[k], path[k] = None, g.names[k], []
+                    held.add(origin, g.names[k], found[k], name, roots[k], path[k])
+                for n, d in outside.items():
+                    held.add(origin, n, d, None, n, [])
+                if held.size >= _HELD:
+                    yield held.batch()
+        yield held.batch()
+
+    each = start.groupBy("o").agg(F.collect_list(F.struct("node", "d")).alias("s"))
+    return each.mapInArrow(run, f"o long, node long, d double, pred long, root long, path {_PATH}")
+
+
+class _Paths:
+    """Rows of ``trees`` until they are handed on."""
+
+    def __init__(self):
+        self.rows, self.steps, self.upto, self.size = [], [], [0], 0
+
+    def add(self, o, node, d, pred, root, path) -> None:
+        self.rows.append((o, node, d, pred, root))
+        self.steps += path
+        self.upto.append(len(self.steps))
+        self.size += 1 + len(path)
+
+    def batch(self) -> pa.RecordBatch:
+        o, node, d, pred, root = zip(*self.rows) if self.rows else ((),) * 5
+        edge, way, reached = zip(*self.steps) if self.steps else ((),) * 3
+        step = pa.StructArray.from_arrays([pa.array(edge, pa.int64()), pa.array(way, pa.int32()), pa.array(reached, pa.int64())], ["edge_id", "dir", "node"])
+        columns = [pa.array(o, pa.int64()), pa.array(node, pa.int64()), pa.array(d, pa.float64()), pa.array(pred, pa.int64()), pa.array(root, pa.int64())]
+        out = pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(self.upto, pa.int32()), step)], ["o", "node", "d", "pred", "root", "path"])
+        self.__init__()
+        return out
 
 
 def to_points(labelled: DataFrame, destinations: DataFrame) -> DataFrame:
@@ -154,7 +280,8 @@ def along_edge(origins: DataFrame, destinations: DataFrame) -> DataFrame:
 
 def od(origins: DataFrame, destinations: DataFrame, arcs: DataFrame, radius: float, same_edge: bool = True, strategy: str = "auto", max_arcs: int = MAX_ARCS) -> DataFrame:
     """(o, dest, d) of all pairs within the radius; only reachable pairs are rows."""
-    pairs = to_points(labels(origins, arcs, radius, strategy, max_arcs), destinations)
+    ends = destinations.select(F.explode(F.array("u", "v")).alias("node"))
+    pairs = to_points(labels(origins, arcs, radius, strategy, max_arcs, ends), destinations)
     if same_edge:
         pairs = pairs.union(along_edge(origins, destinations)).groupBy("o", "dest").agg(F.min("d").alias("d"))
     return pairs.where(F.col("d") <= radius)
@@ -177,6 +304,31 @@ def predecessors(labelled: DataFrame, arcs: DataFrame) -> DataFrame:
     return best.select("o", "node", "d", F.col("b.src").alias("pred"), "b.edge_id", "b.dir")
 
 
+def paths(labelled: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(o, node, d, pred, root, path): the arcs (edge_id, dir, node reached) from a seed to the label.
+
+    Rounds lengthen the chains by one arc; their number is that of the arcs within the radius.
+    """
+    tree = stage(
+        labelled.join(predecessors(labelled, arcs).drop("d"), ["o", "node"], "left"), "path-tree"
+    )
+    empty = F.array().cast(_PATH)
+    done = stage(tree.where("pred is null").select("o", "node", "d", "pred", F.col("node").alias("root"), empty.alias("path")), "path-rows")
+    parts, last = [done], done
+    inner = tree.where("pred is not null").select("o", F.col("node").alias("next"), F.col("d").alias("nd"), F.col("pred").alias("node"), "edge_id", F.col("dir").cast("int").alias("dir"))
+    while last.limit(1).count():
+        grown = inner.join(last.select("o", "node", "root", "path"), ["o", "node"]).select(
+            "o", F.col("next").alias("node"), F.col("nd").alias("d"), F.col("node").alias("pred"), "root",
+            F.concat("path", F.array(F.struct("edge_id", "dir", F.col("next").alias("node")))).alias("path"),
+        )
+        last = stage(grown, "path-rows")
+        parts.append(last)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def state_search(start: DataFrame, moves: DataFrame, radius: float) -> DataFrame:
     """(o, state, d) over a graph of states: ``start`` (o, state, d), ``moves`` (src, dst, w)."""
     return search(start.select("o", F.col("state").alias("node"), "d"), moves, radius).select("o", F.col("node").alias("state"), "d")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.decay import cost_tolerance, detour_budget, route_penalty
-from wayfold.operators.pathjoin import Graph, reversed_arcs, search, seeds
+from wayfold.operators.pathjoin import MAX_ARCS, Graph, reversed_arcs, search, seeds, shared_graph
 from wayfold.params import Settings
 from wayfold.plans.staging import stage
 
@@ -95,31 +95,130 @@ class Alternatives:
         return best, came
 
 
-def alternatives(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, arcs: DataFrame, s: Settings) -> DataFrame:
-    """(o, dest, alt, cost, legs) for pairs (o, dest, d); alt numbers a pair's routes in the order they came.
+class TurnAlternatives:
+    """The same rounds over states (arcs being travelled), where a turn between two arcs costs.
 
-    Sequential for each origin, so a Python task per batch of origins; the adjacency goes to the
-    executors and has to have at most MAX_ARCS arcs.
+    What is made dearer are the arcs and the stretches at both ends; turns keep their cost.  The first
+    arc and the last stretch are entered without a turn.
     """
-    from wayfold.operators.pathjoin import MAX_ARCS
 
-    if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
-        raise ValueError(f"alternatives need a network of at most {MAX_ARCS} arcs; cut it to the study area first")
-    table = arcs.select("src", "dst", "w", "edge_id", "dir").toPandas()
-    shared = arcs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("src", "dst", "w", "edge_id", "dir")))
-    built: list[Graph] = []
+    def __init__(self, graph: Graph, moves: dict[int, list[tuple[int, float]]], rounds: int, factor: float):
+        """``moves``: for each arc's position in the graph, the arcs that follow and the cost of the turn."""
+        self.graph, self.moves, self.rounds, self.factor = graph, moves, rounds, factor
+
+    def routes(self, start: list[tuple[int, float, int, int]], goals: list[dict]) -> Iterator[tuple]:
+        g, work = self.graph, {}
+        begin = [list(s) for s in start]
+        ends = {q["dest"]: [[g.position(n), c, e, d] for n, c, e, d in q["ends"]] for q in goals}
+        limit = max(q["budget"] for q in goals) * self.factor**self.rounds + 1
+        for number in range(self.rounds):
+            best, came = self._search(begin, work, limit)
+            at: dict[int, tuple[float, int]] = {}
+            for k, d in best.items():
+                head = g.dst[k]
+                if head not in at or (d, k) < at[head]:
+                    at[head] = (d, k)
+            used: list[int] = []
+            used_begin: list[int] = []
+            used_end: list[list] = []
+            for q in goals:
+                own = ends[q["dest"]]
+                # Over arcs, or straight from one stretch to the other.
+                found = [(at[e[0]][0] + e[1], k, at[e[0]][1], None) for k, e in enumerate(own) if e[0] in at]
+                found += [(b[1] + e[1], k, -1, i) for k, e in enumerate(own) for i, b in enumerate(begin) if b[0] == e[0]]
+                if not found:
+                    continue
+                _, k, last, first = min(found, key=lambda x: x[:2])
+                end, arcs = own[k], []
+                while last >= 0:
+                    arcs.append(last)
+                    last, first = came[last]
+                arcs.reverse()
+                used += arcs
+                used_begin.append(first)
+                used_end.append(end)
+                legs = [(begin[first][2], begin[first][3], g.names[begin[first][0]])]
+                legs += [(g.edge[a], g.way[a], g.names[g.dst[a]]) for a in arcs]
+                legs.append((end[2], end[3], None))
+                if legs[0][0] == legs[1][0] or legs[-1][0] == legs[-2][0]:
+                    continue
+                turns = sum(dict(self.moves[a])[b] for a, b in zip(arcs, arcs[1:]))
+                cost = start[first][1] + sum(g.w[a] for a in arcs) + turns + q["ends"][k][1]
+                if cost <= q["budget"] + q["slack"]:
+                    yield q["dest"], number, cost, legs
+            if not used_begin:
+                return
+            for a in used:
+                work[a] = work.get(a, g.w[a]) * self.factor
+            for i in used_begin:
+                begin[i][1] *= self.factor
+            for end in used_end:
+                end[1] *= self.factor
+
+    def _search(self, begin: list[list], work: dict[int, float], limit: float):
+        """Least working costs up to the end of each arc, and (arc before or -1, end of the origin's edge)."""
+        g = self.graph
+        best: dict[int, float] = {}
+        came: dict[int, tuple[int, int | None]] = {}
+        heap = []
+        for i, (node, cost, _, _) in enumerate(begin):
+            for k in range(g.first[node], g.first[node + 1]):
+                d = cost + work.get(k, g.w[k])
+                if d < best.get(k, np.inf):
+                    best[k], came[k] = d, (-1, i)
+                    heap.append((d, k))
+        heapq.heapify(heap)
+        while heap:
+            d, a = heapq.heappop(heap)
+            if d > best[a] or d > limit:
+                continue
+            for b, turn in self.moves.get(a, ()):
+                nd = d + turn + work.get(b, g.w[b])
+                if nd < best.get(b, np.inf):
+                    best[b], came[b] = nd, (a, None)
+                    heapq.heappush(heap, (nd, b))
+        return best, came
+
+
+_GRAPH = ("src", "dst", "w", "edge_id", "dir")
+
+
+def alternatives(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, arcs: DataFrame, s: Settings, moves: DataFrame | None = None) -> DataFrame:
+    """(o, dest, alt, cost, legs) for pairs (o, dest, d); alt numbers a pair's routes in the order they came.
+
+    With ``moves`` (transitions by the node rule) turns cost.  Sequential for each origin, so a Python task per
+    batch of origins; the adjacency goes to the executors.  A network of over MAX_ARCS arcs (or moves) is cut
+    to what origins can reach within their largest budget first; if that is still larger, it is refused.
+    """
     budget = detour_budget(F.col("d"), s.flow_detour_mode, s.flow_detour_ratio, s.flow_detour_buffer)
     goal = pairs.withColumns({"budget": budget, "slack": cost_tolerance(F.col("d")) + 1e-9}).join(
         destinations.select(F.col("pt_id").alias("dest"), F.col("u").alias("du"), F.col("v").alias("dv"), F.col("w_start").alias("ds"), F.col("w_end").alias("de"), F.col("edge_id").alias("dedge")), "dest"
     )
+    arcs = arcs.select(*_GRAPH)
+    if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
+        # A search for all origins at once: costs that made dearer only grow, so nothing further out is ever used.
+        reach = (goal.agg(F.max("budget").alias("b")).first()["b"] or 0.0) * s.flow_alternative_penalty_factor**s.flow_n_alternatives + 1
+        near = search(seeds(origins).withColumn("o", F.lit(0).cast("long")).groupBy("o", "node").agg(F.min("d").alias("d")), arcs, reach, "relational").select("node")
+        arcs = stage(arcs.join(near.select(F.col("node").alias("src")), "src", "left_semi").join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select(*_GRAPH), "routes-arcs")
+        if arcs.limit(MAX_ARCS + 1).count() > MAX_ARCS:
+            raise ValueError(f"alternatives search over at most {MAX_ARCS} arcs; take fewer origins at a time")
+    graph = shared_graph(arcs, _GRAPH)
+    after = None
+    if moves is not None:
+        known = moves.join(arcs.select(F.col("edge_id").alias("from_edge"), F.col("dir").alias("from_dir")), ["from_edge", "from_dir"], "left_semi")
+        known = known.join(arcs.select(F.col("edge_id").alias("to_edge"), F.col("dir").alias("to_dir")), ["to_edge", "to_dir"], "left_semi")
+        if known.limit(4 * MAX_ARCS + 1).count() > 4 * MAX_ARCS:
+            raise ValueError(f"turns are searched over at most {4 * MAX_ARCS} moves; take fewer origins at a time")
+        table = known.select("from_edge", "from_dir", "to_edge", "to_dir", "turn").toPandas()
+        after = arcs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in table.columns))
     goals = F.array_sort(F.collect_list(F.struct("d", "dest", "budget", "slack", "du", "dv", "ds", "de", "dedge"))).alias("goals")
     rows = goal.groupBy("o").agg(goals).join(origins.select(F.col("pt_id").alias("o"), "u", "v", "w_start", "w_end", "edge_id"), "o")
+    rounds, factor = s.flow_n_alternatives, s.flow_alternative_penalty_factor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Graph(*shared.value))
-        finder = Alternatives(built[0], s.flow_n_alternatives, s.flow_alternative_penalty_factor)
-        position = built[0].position
+        g = graph()
+        finder = Alternatives(g, rounds, factor) if after is None else TurnAlternatives(g, _following(g, *after.value), rounds, factor)
+        position = g.position
         schema = pa.schema([("o", pa.int64()), ("dest", pa.int64()), ("alt", pa.int64()), ("cost", pa.float64()),
                             ("legs", pa.list_(pa.struct([("edge_id", pa.int64()), ("dir", pa.int32()), ("node", pa.int64())])))])
         for batch in batches:
@@ -139,6 +238,17 @@ def alternatives(pairs: DataFrame, origins: DataFrame, destinations: DataFrame,
     return rows.mapInArrow(run, _ROUTE)
 
 
+def _following(g: Graph, from_edge, from_dir, to_edge, to_dir, turn) -> dict[int, list[tuple[int, float]]]:
+    """Moves by the positions of their arcs."""
+    place = {(e, w): k for k, (e, w) in enumerate(zip(g.edge, g.way))}
+    out: dict[int, list[tuple[int, float]]] = {}
+    for fe, fd, te, td, t in zip(from_edge.tolist(), from_dir.tolist(), to_edge.tolist(), to_dir.tolist(), turn.tolist()):
+        out.setdefault(place[fe, fd], []).append((place[te, td], t))
+    for follow in out.values():
+        follow.sort()
+    return out
+
+
 def all_paths(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, arcs: DataFrame, detour: float, radius: float, max_paths: int = 5_000_000) -> DataFrame:
     """(o, dest, cost, edges): every simple path of at most ``detour`` times the shortest, for pairs (o, dest, d).
 
@@ -202,6 +312,53 @@ def betweenness(paths: DataFrame, trips: DataFrame) -> DataFrame:
     return rows.select(F.explode("edges").alias("edge_id"), (F.col("trips") / F.col("n")).alias("q")).groupBy("edge_id").agg(F.sum("q").alias("flow"))
 
 
+def huff(pairs: DataFrame, destinations: DataFrame, beta: float, closest: bool = False) -> DataFrame:
+    """(o, dest, d, share): the probability of each destination, by weighted gravity, or 1 for the nearest one."""
+    if closest:
+        near = pairs.groupBy("o").agg(F.min(F.struct("d", "dest")).alias("b"))
+        return near.select("o", "b.dest", "b.d", F.lit(1.0).alias("share"))
+    rows = pairs.join(destinations.select(F.col("pt_id").alias("dest"), F.col("weight").alias("w")), "dest").withColumn("g", F.col("w") * F.exp(-beta * F.col("d")))
+    return rows.select("o", "dest", "d", (F.col("g") / F.sum("g").over(Window.partitionBy("o"))).alias("share"))
+
+
+def path_shares(paths: DataFrame, shares: DataFrame, nearest: DataFrame, weights: DataFrame, decay: str | None, beta: float, penalty: str = "equal") -> DataFrame:
+    """``paths`` with probability (of the path among all of its origin), decay and volume.
+
+    ``shares`` (o, dest, share), ``nearest`` (o, least), ``weights`` (o, weight).  A path's cost counts as
+    0.01 at least.  The penalty splits a pair's trips: ``equal``, ``exponent`` or ``power`` (the inverse square).
+    Decay by ``exponent`` is that of the origin's nearest destination, by ``power`` that of the path.
+    """
+    cost = F.greatest("cost", F.lit(0.01))
+    pen = {"equal": F.lit(1.0), "exponent": F.exp(-beta * cost), "power": 1 / (cost * cost)}[penalty]
+    fade = {None: F.lit(1.0), "exponent": F.exp(-beta * F.col("least")), "power": 1 / (cost * cost)}[decay]
+    rows = paths.withColumn("pen", pen).withColumn("p", F.col("pen") / F.sum("pen").over(Window.partitionBy("o", "dest")))
+    rows = rows.join(shares.select("o", "dest", "share"), ["o", "dest"]).join(nearest, "o").join(weights, "o")
+    rows = rows.withColumns({"probability": F.col("p") * F.col("share"), "decay": fade, "length": cost})
+    return rows.withColumn("volume", F.col("probability") * F.col("decay") * F.col("weight")).drop("pen", "p", "share", "least", "weight")
+
+
+def path_flow(shared: DataFrame) -> DataFrame:
+    """edge_id with the volumes of all paths over it."""
+    return shared.select(F.explode("edges").alias("edge_id"), "volume").groupBy("edge_id").agg(F.sum("volume").alias("flow"))
+
+
+def exposures(shared: DataFrame, edges: DataFrame, attribute: str) -> DataFrame:
+    """o with what its paths are exposed to, by the weighted mean attribute of a path's edges.
+
+    Four sums: the mean, the mean after decay, the expected amount along the way, and that after decay; beside them the
+    expected length with and without decay.
+    """
+    numbered = shared.select(F.monotonically_increasing_id().alias("path"), "*")
+    rows = numbered.select("path", F.explode("edges").alias("edge_id")).join(edges.select("edge_id", F.col("weight").alias("w"), F.col(attribute).cast("double").alias("a")), "edge_id")
+    mean = rows.groupBy("path").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("mean"))
+    p, e = F.col("probability"), F.col("mean")
+    return numbered.join(mean, "path").groupBy("o").agg(
+        F.sum(p * e).alias("mean_exposure"), F.sum(p * F.col("decay") * e).alias("decayed_mean_exposure"), F.sum(p * e * F.col("length")).alias("expected_exposure"),
+        F.sum(p * F.col("decay") * e * F.col("length")).alias("decayed_expected_exposure"), F.sum(p * F.col("length")).alias("mean_path_length"),
+        F.sum(p * F.col("decay") * F.col("length")).alias("probable_travel_distance"), F.count("*").alias("n_paths"),
+    )
+
+
 def exposure(paths: DataFrame, edges: DataFrame, attribute: str) -> DataFrame:
     """(o, exposure, n_paths): the mean over an origin's paths of the length-weighted mean attribute of a path."""
     numbered = paths.select("o", "edges", F.monotonically_increasing_id().alias("path"))

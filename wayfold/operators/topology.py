@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geometry import line_length, project
+from wayfold.plans.staging import stage
 
 
 def cost(edges: DataFrame, column: str, length: str = "length") -> DataFrame:
@@ -57,13 +60,15 @@ def build(lines: DataFrame, precision: int = 3) -> tuple[DataFrame, DataFrame]:
 def ranked(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``rank``: the position in (x, y) order.
 
-    Only equal x meet in one window; what lies before them is a sum over the distinct x, a far
-    smaller table.
+    Nodes are dealt to partitions by ranges and numbered within them; what lies before a partition
+    is a sum over the few partitions.
     """
-    columns = nodes.groupBy("x").agg(F.count("*").alias("n"))
-    before = columns.select("x", F.coalesce(F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("x").orderBy("y")) - 1
-    return nodes.withColumn("within", within).join(before, "x").withColumn("rank", F.col("before") + F.col("within")).drop("before", "within")
+    dealt = stage(nodes.repartitionByRange("x", "y").withColumn("__part", F.spark_partition_id()), "ranked")
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy("x", "y")) - 1
+    out = dealt.withColumn("__within", within).join(F.broadcast(parts), "__part")
+    return out.withColumn("rank", F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -83,17 +88,23 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def _first_of(edges: DataFrame, by: list[Column], order: Column) -> DataFrame:
+    """The first row of each group, carried whole through one aggregation."""
+    return edges.groupBy(*by).agg(F.min_by(F.struct(*edges.columns), order).alias("__row")).select("__row.*")
+
+
+def _ends() -> list[Column]:
+    return [F.least("u", "v").alias("__lo"), F.greatest("u", "v").alias("__hi")]
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """Of edges with the same ends and weight, the one with the smallest id."""
-    lo, hi = F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")
-    first = edges.groupBy(lo, hi, "weight").agg(F.min("edge_id").alias("edge_id"))
-    return edges.join(first.select("edge_id"), "edge_id", "left_semi")
+    return _first_of(edges, [*_ends(), F.col("weight").alias("__w")], F.col("edge_id"))
 
 
 def lightest_edges(edges: DataFrame) -> DataFrame:
     """Of parallel edges, the lightest one (the smallest id of equals)."""
-    best = edges.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.min_by("edge_id", F.struct("weight", "edge_id")).alias("edge_id"))
-    return edges.join(best.select("edge_id"), "edge_id", "left_semi")
+    return _first_of(edges, _ends(), F.struct("weight", "edge_id"))
 
 
 def split_parallel(edges: DataFrame) -> DataFrame:
@@ -102,14 +113,13 @@ def split_parallel(edges: DataFrame) -> DataFrame:
     Returns part_of, half (0 whole, 1 and 2 halves), u, v, weight; the new node's id is
     ``-1 - edge_id``, which no node has.
     """
-    rest = edges.join(lightest_edges(edges).select("edge_id"), "edge_id", "left_anti")
+    order = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v")).orderBy("weight", "edge_id")
+    part = lambda half, u, v: F.struct(F.lit(half).alias("half"), u.alias("u"), v.alias("v"))
     middle = -1 - F.col("edge_id")
-    whole = lightest_edges(edges).select(F.col("edge_id").alias("part_of"), F.lit(0).alias("half"), "u", "v", "weight")
-    halves = F.explode(F.array(
-        F.struct(F.lit(1).alias("half"), F.col("u"), middle.alias("v")), F.struct(F.lit(2).alias("half"), middle.alias("u"), F.col("v"))
-    ))
-    split = rest.select(F.col("edge_id").alias("part_of"), (F.col("weight") / 2).alias("weight"), halves.alias("h"))
-    return whole.unionByName(split.select("part_of", "h.half", "h.u", "h.v", "weight"))
+    parts = F.when(F.col("k") == 1, F.array(part(0, F.col("u"), F.col("v")))).otherwise(F.array(part(1, F.col("u"), middle), part(2, middle, F.col("v"))))
+    weight = F.when(F.col("k") == 1, F.col("weight")).otherwise(F.col("weight") / 2)
+    rows = edges.withColumn("k", F.row_number().over(order)).select(F.col("edge_id").alias("part_of"), weight.alias("weight"), F.explode(parts).alias("h"))
+    return rows.select("part_of", "h.half", "h.u", "h.v", "weight")
 
 
 def tags(edges: DataFrame, tolerance: float) -> DataFrame:
@@ -174,38 +184,60 @@ def chain(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def segments(lines: DataFrame) -> DataFrame:
     """The straight pieces of lines (edge_id, coords, weight): edge_id, seg, x1, y1, x2, y2, before, total, weight."""
-    pieces = lines.select("edge_id", "weight", F.col("coords"), line_length("coords").alias("total"), F.explode(F.expr("sequence(1, size(coords) - 1)")).alias("seg"))
+    steps = "zip_with(slice(coords, 1, size(coords) - 1), slice(coords, 2, size(coords)), (a, b) -> hypot(b.x - a.x, b.y - a.y))"
+    # Lengths up to each point, summed once for the line.
+    upto = F.expr(f"aggregate({steps}, array(0D), (s, d) -> concat(s, array(element_at(s, -1) + d)))")
+    rows = lines.where(F.size("coords") > 1).select("edge_id", "weight", "coords", upto.alias("upto"))
+    pieces = rows.select("*", F.explode(F.expr("sequence(1, size(coords) - 1)")).alias("seg"))
     a, b = F.element_at("coords", F.col("seg")), F.element_at("coords", F.col("seg") + 1)
-    before = F.expr("aggregate(transform(sequence(1, seg), i -> if(i = 1, 0D, hypot(coords[i - 1].x - coords[i - 2].x, coords[i - 1].y - coords[i - 2].y))), 0D, (s, d) -> s + d)")
-    return pieces.select("edge_id", "seg", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"), before.alias("before"), "total", "weight")
-
+    return pieces.select(
+        "edge_id", "seg", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"),
+        F.element_at("upto", F.col("seg")).alias("before"), F.element_at("upto", -1).alias("total"), "weight",
+    )
 
-def snap(points: DataFrame, pieces: DataFrame, cell: float, max_rings: int = 1_000) -> DataFrame:
-    """The nearest edge of each point (pt_id, x, y), by (distance, edge_id).
 
-    Segments are entered in the grid cells that their boxes overlap, points in theirs, and a
-    point looks at all cells within ``rings``.  A found distance is final once it is at most
-    ``rings * cell``, since anything nearer would have been seen; the others look further, with
-    twice the rings.  Returns pt_id, edge_id, frac (of the line's length), snap_dist, w_start, w_end.
+def _cells(pieces: DataFrame, cell: float) -> DataFrame:
+    """``pieces`` once for each grid cell (cx, cy) that they run through: column by column, the rows between entry and exit."""
+    at = lambda x: F.floor(x / cell)
+    flip = F.col("x1") > F.col("x2")
+    xa, ya, xb, yb = (F.when(flip, F.col(p)).otherwise(F.col(q)) for p, q in (("x2", "x1"), ("y2", "y1"), ("x1", "x2"), ("y1", "y2")))
+    columns = pieces.withColumns({"xa": xa, "ya": ya, "xb": xb, "yb": yb}).withColumn("cx", F.explode(F.sequence(at(F.col("xa")), at(F.col("xb")))))
+    share = lambda x: F.when(F.col("xb") > F.col("xa"), F.least(F.greatest((x - F.col("xa")) / (F.col("xb") - F.col("xa")), F.lit(0.0)), F.lit(1.0)))
+    y = lambda t: F.col("ya") + t * (F.col("yb") - F.col("ya"))
+    first, last = y(F.coalesce(share(F.col("cx") * cell), F.lit(0.0))), y(F.coalesce(share((F.col("cx") + 1) * cell), F.lit(1.0)))
+    edge = cell * 1e-9
+    rows = F.sequence(at(F.least(first, last) - edge), at(F.greatest(first, last) + edge))
+    return columns.withColumn("cy", F.explode(rows)).drop("xa", "ya", "xb", "yb")
+
+
+def snap(points: DataFrame, pieces: DataFrame, cell: float | None = None) -> DataFrame:
+    """The nearest edge of each point (pt_id, x, y), by (distance, edge_id), at whatever distance.
+
+    Segments are entered in the grid cells that they run through, and a point looks at its cell and the eight
+    around it.  A distance of at most a cell's width is final, since anything nearer would have
+    been seen; the other points look again in a grid four times as coarse, until all are
+    done.  The first width is the mean extent of the segments, so units don't matter.
+    Points without finite coordinates have no nearest edge.  Returns pt_id, edge_id, frac (of the line's
+    length), snap_dist, w_start, w_end.
     """
-    from wayfold.plans.staging import stage
-
-    c = lambda x: F.floor(F.col(x) / cell) if isinstance(x, str) else F.floor(x / cell)
-    box = pieces.select("*", c(F.least("x1", "x2")).alias("cx1"), c(F.greatest("x1", "x2")).alias("cx2"), c(F.least("y1", "y2")).alias("cy1"), c(F.greatest("y1", "y2")).alias("cy2"))
-    entered = stage(box.withColumn("cx", F.explode(F.sequence("cx1", "cx2"))).withColumn("cy", F.explode(F.sequence("cy1", "cy2"))).drop("cx1", "cx2", "cy1", "cy2"), "snap-cells")
-    waiting, done, rings = points.select("pt_id", "x", "y"), None, 1
+    pieces = stage(pieces, "snap-pieces")
+    size = pieces.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))).alias("size"), F.count("*").alias("n")).first()
+    cell = cell or size["size"] or 1.0
+    finite = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    waiting, done = points.select("pt_id", "x", "y").where(finite("x") & finite("y")), []
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     while True:
-        around = F.expr(f"sequence(cast(-{rings} as bigint), cast({rings} as bigint))")
+        at = lambda x: F.floor(F.col(x) / cell)  # noqa: E731, B023
         looked = waiting.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        looked = looked.select("pt_id", "x", "y", (c("x") + F.col("dx")).alias("cx"), (c("y") + F.col("dy")).alias("cy"))
+        looked = looked.select("pt_id", "x", "y", (at("x") + F.col("dx")).alias("cx"), (at("y") + F.col("dy")).alias("cy"))
         t, d2 = project(*(F.col(q) for q in ("x", "y", "x1", "y1", "x2", "y2")))
-        near = looked.join(entered, ["cx", "cy"]).withColumns({"t": t, "d2": d2})
+        near = looked.join(_cells(pieces, cell), ["cx", "cy"]).withColumns({"t": t, "d2": d2})
         along = F.when(F.col("total") > 0, (F.col("before") + F.col("t") * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) / F.col("total")).otherwise(0.0)
         best = near.groupBy("pt_id").agg(F.min(F.struct("d2", "edge_id", "seg", along.alias("frac"), "weight")).alias("b"))
-        best = stage(best.select("pt_id", "b.edge_id", "b.frac", F.sqrt("b.d2").alias("snap_dist"), (F.col("b.weight") * F.col("b.frac")).alias("w_start"), (F.col("b.weight") * (1 - F.col("b.frac"))).alias("w_end")), "snap-best")
-        final = best.where(F.col("snap_dist") <= rings * cell)
-        done = final if done is None else done.unionByName(final)
+        best = best.select("pt_id", "b.edge_id", "b.frac", F.sqrt("b.d2").alias("snap_dist"), (F.col("b.weight") * F.col("b.frac")).alias("w_start"), (F.col("b.weight") * (1 - F.col("b.frac"))).alias("w_end"))
+        final = stage(best.where(F.col("snap_dist") <= cell), "snap-best")
+        done.append(final)
         waiting = stage(waiting.join(final.select("pt_id"), "pt_id", "left_anti"), "snap-waiting")
-        if rings >= max_rings or not waiting.limit(1).count():
-            return done
-        rings *= 2
+        if not size["n"] or not waiting.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        cell *= 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import csv
 import json
 import math
 from dataclasses import asdict, dataclass, fields, replace
@@ -18,10 +19,14 @@ _CHOICES = {
     "observer_snap_to": ("edge", "node"),
     "obstacle_snap_to": ("edge", "node"),
     "profile": ("corrected", "legacy"),
+    "composite_metric": ("reach", "gravity_exponential", "gravity_logistic", "knn_access", "edge_flow", "node_flow"),
 }
 
 #: Spellings of the same choice.
-_ALIASES = {"exp": "exponential", "logit": "logistic", "logistics": "logistic", "off": "none", "uniform": "equal", "no": "none"}
+_ALIASES = {"exp": "exponential", "exponent": "exponential", "logit": "logistic", "logistics": "logistic", "off": "none", "false": "none", "no": "none", "": "none", "uniform": "equal"}
+
+#: What no penalty is called where routes are weighted.
+_NO_PENALTY = {"flow_path_detour_penalty": "equal"}
 
 _TRUE = {"true", "t", "1", "yes", "y"}
 
@@ -61,6 +66,10 @@ class Settings:
     knn_weights: tuple[float, ...] = (1.0, 1.0, 0.5)
     knn_decay: str = "logistic"
     profile: str = "corrected"
+    calculate_reach: bool = True
+    calculate_exponential_gravity: bool = True
+    calculate_logistic_gravity: bool = True
+    calculate_knn_access: bool = True
 
     elevation: bool = False
     elevation_penalty: float = 4.0
@@ -97,12 +106,14 @@ class Settings:
     composite: bool = False
     composite_metric: str = "knn_access"
     composite_column: str = "composite_sum"
+    composite_prefix: str = ""
     walking_speed: float = 5.0
 
     def __post_init__(self) -> None:
         for name, allowed in _CHOICES.items():
             value = str(getattr(self, name)).strip().lower()
             value = _ALIASES.get(value, value)
+            value = _NO_PENALTY.get(name, value) if value == "none" else value
             if value not in allowed:
                 raise ValueError(f"{name} is {value!r}; it is one of {', '.join(allowed)}")
             object.__setattr__(self, name, value)
@@ -174,6 +185,18 @@ def project_rows(rows: list[dict[str, str | None]], base: Settings = Settings())
     return [base.with_row(r) for r in rows]
 
 
+def write_project(rows: list[Settings], path: str) -> None:
+    """The project as a file, JSON or CSV by its extension."""
+    out = export_project(rows)
+    if path.lower().endswith(".json"):
+        Path(path).write_text(json.dumps(out, indent=1))
+        return
+    with open(path, "w", newline="") as f:
+        w = csv.DictWriter(f, list(out[0]) if out else [])
+        w.writeheader()
+        w.writerows({k: list(v) if isinstance(v, tuple) else v for k, v in r.items()} for r in out)
+
+
 def export_project(rows: list[Settings]) -> list[dict[str, object]]:
     """Rows with the union of the columns that any changed, without the data folder."""
     names = [f.name for f in fields(Settings) if f.name != "data_folder" and any(f.name in r.changed() for r in rows)]

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import decay, geometry
-from wayfold.operators import access, flow, impedance, pathjoin, routes, topology, trips
+from wayfold.operators import access, areas, flow, impedance, pathjoin, routes, topology, trips, turnflow
 from wayfold.params import Settings
 from wayfold.plans import sql
 from wayfold.plans.city import City
 from wayfold.plans.sql import R, with_city, with_od
 from wayfold.plans.staging import stage
+from wayfold.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,7 +188,7 @@ def predecessors(c: City) -> DataFrame:
     return pathjoin.predecessors(_once(pathjoin.labels(c.destinations, arcs, R), "labels"), arcs).select("o", "node", F.round("d", 4).alias("d"), "pred", "edge_id", "dir")
 
 
-_STATES = """start AS (SELECT pt_id AS o, 2 * edge_id + 1 AS state, w_start AS d FROM origins WHERE pt_id % 5 = 0 UNION ALL SELECT pt_id, 2 * edge_id, w_end FROM origins WHERE pt_id % 5 = 0),
+_STATES = """start AS (SELECT pt_id AS o, 2 * edge_id + 1 AS state, w_start AS d FROM origins UNION ALL SELECT pt_id, 2 * edge_id, w_end FROM origins),
 steps AS (SELECT 2 * from_edge + from_dir AS src, 2 * to_edge + to_dir AS dst, turn, turn + w AS w FROM moves)"""
 
 
@@ -195,31 +196,20 @@ steps AS (SELECT 2 * from_edge + from_dir AS src, 2 * to_edge + to_dir AS dst, t
     "J8_J10_turn_od",
     f"""WITH RECURSIVE {sql.CITY_SQL}, {sql.ARCS}, {sql.moves("geometry")}, {_STATES},
 lab(o, state, d) USING KEY (o, state) AS (
-  SELECT o, state, min(d) FROM start WHERE d <= 400 GROUP BY o, state
+  SELECT o, state, min(d) FROM start WHERE d <= {R} GROUP BY o, state
   UNION
   SELECT l.o, a.dst, min(l.d + a.w) FROM lab l JOIN steps a ON a.src = l.state LEFT JOIN recurring.lab q ON q.o = l.o AND q.state = a.dst
-  WHERE l.d + a.w <= 400 AND (q.d IS NULL OR l.d + a.w < q.d) GROUP BY l.o, a.dst
+  WHERE l.d + a.w <= {R} AND (q.d IS NULL OR l.d + a.w < q.d) GROUP BY l.o, a.dst
 ), goals AS (SELECT pt_id AS dest, 2 * edge_id AS dst, w_start AS c FROM destinations UNION ALL SELECT pt_id, 2 * edge_id + 1, w_end FROM destinations),
 got AS (
   SELECT l.o, g.dest, l.d + t.turn + g.c AS d FROM lab l JOIN steps t ON t.src = l.state JOIN goals g ON g.dst = t.dst
-  UNION ALL SELECT a.pt_id, b.pt_id, abs(a.w_start - b.w_start) FROM origins a JOIN destinations b ON a.edge_id = b.edge_id WHERE a.pt_id % 5 = 0)
-SELECT o, dest, round(min(d), 4) AS d FROM got GROUP BY o, dest HAVING min(d) <= 400""",
+  UNION ALL SELECT a.pt_id, b.pt_id, abs(a.w_start - b.w_start) FROM origins a JOIN destinations b ON a.edge_id = b.edge_id)
+SELECT o, dest, round(min(d), 4) AS d FROM got GROUP BY o, dest HAVING min(d) <= {R}""",
 )
 def turn_od(c: City) -> DataFrame:
-    """The fifth of the origins and the radius that the SQL has; ``turn_od_whole`` is the whole job."""
-    return _turn_od(c, c.origins.where("pt_id % 5 = 0"), 400.0)
-
-
-def _turn_od(c: City, origins: DataFrame, radius: float) -> DataFrame:
     arcs = _arcs(c)
     moves = impedance.transitions(arcs, c.nodes, "geometry", 45.0, 32.0)
-    return pathjoin.turn_od(origins, c.destinations, arcs, _once(moves, "moves"), radius).select("o", "dest", *r4("d"))
-
-
-@query("J8_J10_turn_od_whole")
-def turn_od_whole(c: City) -> DataFrame:
-    """Every origin within R.  Without SQL: a test holds it against brute force."""
-    return _turn_od(c, c.origins, float(R))
+    return pathjoin.turn_od(c.origins, c.destinations, arcs, _once(moves, "moves"), float(R)).select("o", "dest", *r4("d"))
 
 
 @query("J12_closest_facility", f"{with_od()} SELECT dest, (min({{'d': d, 'o': o}})).o AS o, round(min(d), 4) AS d FROM od GROUP BY dest")
@@ -391,16 +381,17 @@ _OFF = "off AS (SELECT s_suppkey AS pt_id, CAST((s_suppkey * 137) % 1000 AS DOUB
   SELECT edge_id, weight, a.x + 30, a.y + 40, b.x, b.y, 50.0, 50 + sqrt((b.x - a.x - 30) ** 2 + (b.y - a.y - 40) ** 2), 2
   FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v WHERE edge_id % 3 = 0
 )""",
-        """pr AS (SELECT pt_id, x, y, s.*, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1) AS t FROM off CROSS JOIN seg s)""",
-        """ds AS (SELECT *, (x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2 AS d2 FROM pr)""",
-        """best AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY round(d2, 6), edge_id, seg) AS k FROM ds)""",
+        """pr AS (SELECT pt_id, x, y, s.*, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t FROM off CROSS JOIN seg s)""",
+        """ex AS (SELECT *, x - (x1 + t * (x2 - x1)) AS ex, y - (y1 + t * (y2 - y1)) AS ey FROM pr)""",
+        """best AS (SELECT *, ex * ex + ey * ey AS d2, row_number() OVER (PARTITION BY pt_id ORDER BY ex * ex + ey * ey, edge_id, seg) AS k FROM ex)""",
+        """at AS (SELECT *, (before + t * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) / total AS frac FROM best WHERE k = 1)""",
     )
-    + " SELECT pt_id, round(sqrt(d2), 4) AS snap_dist FROM best WHERE k = 1",
+    + " SELECT pt_id, edge_id, round(frac, 4) AS frac, round(sqrt(d2), 4) AS snap_dist, round(weight * frac, 4) AS w_start, round(weight * (1 - frac), 4) AS w_end FROM at",
 )
 def nearest_edge(c: City) -> DataFrame:
     k = F.col("s_suppkey")
     off = c.table("supplier").select(k.alias("pt_id"), ((k * 137 % 1000).cast("double") + 3).alias("x"), ((k * 71 % 1000).cast("double") + 7).alias("y"))
-    return topology.snap(off, topology.segments(_coords(c)), 150.0).select("pt_id", *r4("snap_dist"))
+    return topology.snap(off, topology.segments(_coords(c))).select("pt_id", "edge_id", *r4("frac", "snap_dist", "w_start", "w_end"))
 
 
 # ---------------------------------------------------------------- impedance
@@ -426,6 +417,34 @@ def partial_edges(c: City) -> DataFrame:
     return impedance.crossed_between(c.origins, c.obstacles, True).select("pt_id", *r4("w_start", "w_end"))
 
 
+@query(
+    "I4_partial_edges_destinations",
+    with_city()
+    + """ SELECT p.pt_id, round(p.w_start + coalesce(sum(o.penalty) FILTER (o.w_start < p.w_start AND o.direction <> 'ba'), 0), 4) AS w_start,
+  round(p.w_end + coalesce(sum(o.penalty) FILTER (o.w_end < p.w_end AND o.direction <> 'ab'), 0), 4) AS w_end
+FROM origins p LEFT JOIN obstacles o ON o.edge_id = p.edge_id GROUP BY p.pt_id, p.w_start, p.w_end""",
+)
+def partial_edges_in(c: City) -> DataFrame:
+    """The customers as destinations: there are more of them beside obstacles."""
+    return impedance.crossed_between(c.origins, c.obstacles, False).select("pt_id", *r4("w_start", "w_end"))
+
+
+@query(
+    "I3_node_obstacle_arcs",
+    with_city(sql.ARCS, "held AS (SELECT CASE WHEN w_start <= w_end THEN u ELSE v END AS node, sum(penalty) AS penalty FROM obstacles GROUP BY 1)")
+    + " SELECT src, dst, edge_id, CAST(dir AS INTEGER) AS dir, w + coalesce(penalty, 0.0::DOUBLE) AS w FROM arcs LEFT JOIN held ON node = dst",
+)
+def node_obstacle_arcs(c: City) -> DataFrame:
+    at = topology.snapped_node(c.obstacles).join(c.obstacles.select("pt_id", "penalty"), "pt_id")
+    return impedance.with_node_obstacles(_arcs(c), at).select("src", "dst", "edge_id", "dir", "w")
+
+
+@query("I8_stacked_od", f"{with_od(sql.STACKED)} SELECT o, dest, round(d, 4) AS d FROM od")
+def stacked_od(c: City) -> DataFrame:
+    arcs = impedance.with_obstacles(impedance.with_elevation(_arcs(c), c.nodes, 4.0), c.obstacles)
+    return _od(c, arcs).select("o", "dest", *r4("d"))
+
+
 for _id, _rule in (("I5", "geometry"), ("I6", "node"), ("I7", "folded")):
 
     @query(
@@ -454,7 +473,8 @@ def angles(c: City) -> DataFrame:
     f"""{with_od()} SELECT o, dest, round(exp(-0.002::DOUBLE * greatest(d - 100, 0)), 4) AS exponential, round(1 / (1 + exp(ln(99) / 300 * (d - 300))), 4) AS logistic,
   round(1 / (1 + exp(ln(99) / 600 * (d - 300))), 4) AS whole_radius, round(1 / (1 + exp(ln(99) / 150 * (d - 100))), 4) AS via_penalty,
   round(1 / (1 + exp(0.01::DOUBLE * (greatest(d, 0) - 150))), 4) AS route_penalty, round(least(d * 1.05::DOUBLE, d + 100), 4) AS budget,
-  round(greatest(0.0001::DOUBLE, abs(d) * 0.00001::DOUBLE), 9) AS tolerance FROM od""",
+  round(greatest(0.0001::DOUBLE, abs(d) * 0.00001::DOUBLE), 9) AS tolerance, CASE WHEN d - 200 <= 0 THEN 1 ELSE round(exp(-0.01::DOUBLE * (d - 200)), 4) END AS via_exponential,
+  round(exp(-0.01::DOUBLE * greatest(d - 200, 0)), 4) AS route_exponential, round(least(d + 100, d * 9), 4) AS buffered FROM od""",
 )
 def decay_functions(c: City) -> DataFrame:
     d = F.col("d")
@@ -462,7 +482,9 @@ def decay_functions(c: City) -> DataFrame:
         "o", "dest", F.round(decay.exponential(d, 0.002, 100.0), 4).alias("exponential"), F.round(decay.logistic(d, decay.LN99 / 300, 300.0), 4).alias("logistic"),
         F.round(decay.radius_logistic(d, 600.0), 4).alias("whole_radius"), F.round(decay.detour_penalty(d - 100, "logistic", 0.0, 150.0), 4).alias("via_penalty"),
         F.round(decay.route_penalty(d, "logistic", 0.01, 150.0), 4).alias("route_penalty"), F.round(decay.detour_budget(d, "min", 1.05, 100.0), 4).alias("budget"),
-        F.round(decay.cost_tolerance(d), 9).alias("tolerance"),
+        F.round(decay.cost_tolerance(d), 9).alias("tolerance"), F.round(decay.detour_penalty(d - 200, "exponential", 0.01, 150.0), 4).alias("via_exponential"),
+        F.round(decay.route_penalty(d - 200, "exponential", 0.01, 150.0), 4).alias("route_exponential"),
+        F.round(F.least(decay.detour_budget(d, "buffer", 1.05, 100.0), decay.detour_budget(d, "ratio", 9.0, 100.0)), 4).alias("buffered"),
     )
 
 
@@ -539,12 +561,12 @@ def percent_ranks(c: City) -> DataFrame:
 def _flow(c: City):
     arcs = _arcs(c)
     forward, backward = flow.trees(c.origins, c.destinations, arcs, flow.tree_radius(S))
-    t = _once(trips.trips(_od(c), c.origins, c.destinations, S), "trips")
+    t = _once(trips.trips(_od(c, same_edge=False), c.origins, c.destinations, S), "trips")
     via = _once(flow.via_arcs(t, c.origins, c.destinations, arcs, forward, backward, S), "via")
     return t, via, forward, backward
 
 
-_FLOW = f"{with_od()}, {sql.trips()}, {sql.flow()}"
+_FLOW = f"{with_od(same_edge=False, reach=R * S.flow_detour_ratio)}, {sql.trips()}, {sql.flow(S.flow_detour_ratio)}"
 
 
 @query("F8_F9_via_arcs", f"{_FLOW} SELECT o, dest, src, dst, edge_id, CAST(dir AS INTEGER) AS dir, round(q, 4) AS q FROM via")
@@ -653,6 +675,42 @@ def exposure(c: City) -> DataFrame:
     return routes.exposure(_all_paths(c), c.edges, "weight").select("o", F.round("exposure", 4).alias("exposure"), "n_paths")
 
 
+_SHARED = f"""{_ALL}, hs AS (
+  SELECT o, dest, g / sum(g) OVER (PARTITION BY o) AS share, min(d) OVER (PARTITION BY o) AS least
+  FROM (SELECT od.o, od.dest, od.d, t.weight * exp(-0.003::DOUBLE * od.d) AS g FROM od JOIN destinations t ON t.pt_id = od.dest)
+), sh AS (
+  SELECT row_number() OVER () AS p, a.o, a.es, a.len, a.pen / sum(a.pen) OVER (PARTITION BY a.o, a.dest) * h.share AS prob, exp(-0.003::DOUBLE * h.least) AS decay, s.weight AS ow
+  FROM (SELECT o, dest, es, greatest(cost, 0.01) AS len, 1 / (greatest(cost, 0.01) * greatest(cost, 0.01)) AS pen FROM allp) a
+  JOIN hs h ON h.o = a.o AND h.dest = a.dest JOIN origins s ON s.pt_id = a.o
+)"""
+
+
+def _path_shares(c: City) -> DataFrame:
+    pairs = _once(_od(c, radius=float(_ALL_R)), "pairs")
+    paths = routes.all_paths(pairs, c.origins, c.destinations, _arcs(c), _DETOUR, float(_ALL_R))
+    nearest = pairs.groupBy("o").agg(F.min("d").alias("least"))
+    weights = c.origins.select(F.col("pt_id").alias("o"), "weight")
+    return _once(routes.path_shares(paths, routes.huff(pairs, c.destinations, 0.003), nearest, weights, "exponent", 0.003, "power"), "shares")
+
+
+@query("M5_path_flow_power", f"{_SHARED} SELECT edge_id, round(sum(q), 4) AS flow FROM (SELECT unnest(es) AS edge_id, prob * decay * ow AS q FROM sh) GROUP BY edge_id")
+def path_flow(c: City) -> DataFrame:
+    return routes.path_flow(_path_shares(c)).select("edge_id", *r4("flow"))
+
+
+@query(
+    "M7_exposures",
+    f"""{_SHARED}, mean AS (SELECT p, sum(weight * (edge_id % 7)) / sum(weight) AS e FROM (SELECT p, unnest(es) AS edge_id FROM sh) JOIN edges USING (edge_id) GROUP BY p)
+SELECT o, round(sum(prob * e), 4) AS mean_exposure, round(sum(prob * decay * e), 4) AS decayed_mean_exposure, round(sum(prob * e * len), 4) AS expected_exposure,
+  round(sum(prob * decay * e * len), 4) AS decayed_expected_exposure, round(sum(prob * len), 4) AS mean_path_length, round(sum(prob * decay * len), 4) AS probable_travel_distance, count(*) AS n_paths
+FROM sh JOIN mean USING (p) GROUP BY o""",
+)
+def exposures(c: City) -> DataFrame:
+    got = routes.exposures(_path_shares(c), c.edges.withColumn("a", F.col("edge_id") % 7), "a")
+    names = [n for n in got.columns if n not in ("o", "n_paths")]
+    return got.select("o", *r4(*names), "n_paths")
+
+
 _K = Settings(**(S.changed() | _ALT | {"flow_n_alternatives": 8, "flow_alternative_penalty_factor": 1.05, "flow_path_detour_penalty": "equal"}))
 
 
@@ -680,6 +738,76 @@ def alternatives_flow(c: City) -> DataFrame:
     return flow.undirected(by_edge, c.edges).select("edge_id", *r4("flow", "flow_ab", "flow_ba"))
 
 
+_T = Settings(**(S.changed() | {"turns": True, "turn_threshold": 45.0, "turn_penalty": 32.0}))
+
+
+def _turn_flow(c: City) -> tuple[DataFrame, DataFrame]:
+    arcs = _once(topology.lightest_arcs(_arcs(c)), "arcs")
+    forward, backward = turnflow.gradients(c.origins, c.destinations, arcs, turnflow.transitions(arcs, c.nodes, _T, False), flow.tree_radius(_T))
+    pairs = turnflow.shortest(c.origins, c.destinations, arcs, forward, _T.search_radius)
+    sent = _once(trips.trips(pairs, c.origins, c.destinations, _T), "trips")
+    via = _once(turnflow.via_states(sent, c.origins, c.destinations, arcs, forward, backward, _T), "via")
+    return turnflow.load(via, c.origins, c.destinations, arcs, forward, backward)
+
+
+@query("F13_turn_edge_flow")
+def turn_edge_flow(c: City) -> DataFrame:
+    """Without SQL: tests hold the operator against searches written out in plain Python, as they do for alternatives."""
+    return flow.undirected(_turn_flow(c)[0], c.edges).select("edge_id", *r4("flow", "flow_ab", "flow_ba"))
+
+
+@query("F16_turn_alternatives")
+def turn_alternatives(c: City) -> DataFrame:
+    s = Settings(**(_K.changed() | {"turns": True, "turn_threshold": 45.0, "turn_penalty": 32.0}))
+    arcs = _once(topology.lightest_arcs(_arcs(c)), "arcs")
+    pairs = _once(_od(c, same_edge=False), "pairs")
+    out = routes.alternatives(pairs, c.origins, c.destinations, arcs, s, turnflow.transitions(arcs, c.nodes, s, True))
+    return out.select("o", "dest", "alt", F.round("cost", 4).alias("cost"), F.size("legs").alias("n_legs"))
+
+
+# ---------------------------------------------------------------- areas
+
+def _places(c: City) -> DataFrame:
+    """Customers beside the network, in the groups of their nations."""
+    k = F.col("c_custkey")
+    return c.table("customer").select(
+        k.alias("pt_id"), F.col("c_nationkey").alias("grp"), (k * 37 % 1009 + F.col("c_nationkey") * 20).cast("double").alias("x"), (k * k * 11 % 997).cast("double").alias("y")
+    )
+
+
+@query("G19_hulls")
+def group_hulls(c: City) -> DataFrame:
+    """Corners of each group's convex hull, in order."""
+    return areas.hulls(_places(c), "grp").select("grp", F.posexplode("ring").alias("corner", "p")).select("grp", "corner", "p.x", "p.y")
+
+
+@query("G10_clusters")
+def origin_clusters(c: City) -> DataFrame:
+    clustered = _once(areas.clusters(_places(c), 10), "clusters")
+    return areas.within_masks(clustered, _places(c), 50.0)
+
+
+@query("G13_snapped_ends")
+def snapped_ends(c: City) -> DataFrame:
+    return areas.snapped_ends(_places(c).withColumnRenamed("pt_id", "end"), 12.0)
+
+
+@query(
+    "G11_evaluation",
+    with_city(_OFF)
+    + """, n AS (SELECT min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM nodes), p AS (SELECT min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM off)
+SELECT 'network_loaded' AS check_name, true AS passed UNION ALL SELECT 'bbox_overlap_points', p.x1 <= n.x2 AND n.x1 <= p.x2 AND p.y1 <= n.y2 AND n.y1 <= p.y2 FROM n, p
+UNION ALL SELECT 'coord_system_points', (greatest(abs(n.x1), abs(n.x2)) <= 180 AND greatest(abs(n.y1), abs(n.y2)) <= 90) = (greatest(abs(p.x1), abs(p.x2)) <= 180 AND greatest(abs(p.y1), abs(p.y2)) <= 90) FROM n, p
+UNION ALL SELECT 'snap_distance_points', 50 <= 0.05 * greatest(n.x2 - n.x1, n.y2 - n.y1) FROM n""",
+)
+def evaluation(c: City) -> DataFrame:
+    """Points whose distances to the network are 50, whatever they are."""
+    k = F.col("s_suppkey")
+    off = c.table("supplier").select(((k * 137 % 1000).cast("double") + 3).alias("x"), ((k * 71 % 1000).cast("double") + 7).alias("y"), F.lit(50.0).alias("snap_dist"))
+    found = readers.evaluate(c.nodes, {"points": off})
+    return c.spark.createDataFrame([(n, bool(ok)) for n, (ok, _) in found.items()], "check_name string, passed boolean")
+
+
 # ---------------------------------------------------------------- scenarios
 
 @query(

@@ -30,6 +30,14 @@ arcs AS (
 )"""
 
 
+STACKED = f"""{PENALTIES},
+arcs AS (
+  SELECT a.edge_id, a.src, a.dst, a.w + 4.0::DOUBLE * greatest(n2.z - n1.z, 0.0::DOUBLE) + coalesce(p.penalty, 0.0::DOUBLE) AS w, a.dir
+  FROM (SELECT edge_id, u AS src, v AS dst, weight AS w, 0 AS dir FROM edges UNION ALL SELECT edge_id, v, u, weight, 1 FROM edges) a
+  JOIN nodes n1 ON n1.node_id = a.src JOIN nodes n2 ON n2.node_id = a.dst LEFT JOIN penalties p ON p.edge_id = a.edge_id AND p.dir = a.dir
+)"""
+
+
 def seeds(name: str, points: str) -> str:
     return f"""{name} AS (
   SELECT o, node, min(d) AS d FROM (SELECT pt_id AS o, u AS node, w_start AS d FROM {points} UNION ALL SELECT pt_id, v, w_end FROM {points}) GROUP BY o, node
@@ -54,8 +62,9 @@ od AS (
 )"""
 
 
-def with_od(arcs: str = ARCS, r: float = R, same_edge: bool = True) -> str:
-    return f"WITH RECURSIVE {CITY_SQL}, {arcs}, {seeds('seeds', 'origins')}, {label('lab', 'seeds', r)}, {od(r, same_edge)}"
+def with_od(arcs: str = ARCS, r: float = R, same_edge: bool = True, reach: float = 0) -> str:
+    """Pairs within ``r``; labels reach as far as ``reach``, if that is further."""
+    return f"WITH RECURSIVE {CITY_SQL}, {arcs}, {seeds('seeds', 'origins')}, {label('lab', 'seeds', max(r, reach))}, {od(r, same_edge)}"
 
 
 def with_city(*more: str) -> str:
@@ -86,17 +95,27 @@ trips AS (SELECT o, dest, d, trips FROM (SELECT o, dest, d, ow * ({factor}) * g
 
 def flow(ratio: float = 1.1) -> str:
     """via, edge_flow (edge_id, dir, flow), node_flow, total (edge_id, flow, flow_ab, flow_ba) on top of od and trips."""
-    return f"""{seeds('dseeds', 'destinations')}, {label('dlab', 'dseeds', R, 'dst', 'src')},
+    return f"""{seeds('dseeds', 'destinations')}, {label('dlab', 'dseeds', R * ratio, 'dst', 'src')},
 {tree('fwd', 'lab')}, {tree('bwd', 'dlab', 'dst', 'src')},
 fe AS (SELECT o, node, d, pred, list_transform(path, lambda p: p.edge_id) AS es FROM fwd),
 be AS (SELECT o, node, d, pred, list_transform(path, lambda p: p.edge_id) AS es FROM bwd),
-cand AS (
-  SELECT t.o, t.dest, a.src, a.dst, a.edge_id, a.dir, t.trips, 1 / (1 + exp(ln(99) / 150 * greatest(f.d + a.w + b.d - t.d, 0))) AS pen
+net AS (
+  SELECT t.o, t.dest, a.src, a.dst, a.edge_id, a.dir, t.trips, t.d, f.d + a.w + b.d AS cost
   FROM trips t JOIN origins s ON s.pt_id = t.o JOIN destinations e ON e.pt_id = t.dest
   JOIN fe f ON f.o = t.o JOIN arcs a ON a.src = f.node JOIN be b ON b.o = t.dest AND b.node = a.dst
-  WHERE f.d <= t.d * {ratio}::DOUBLE AND f.d + a.w <= t.d * {ratio}::DOUBLE AND f.d + a.w + b.d <= t.d * {ratio}::DOUBLE + 1e-9::DOUBLE
+  WHERE f.d + a.w + b.d <= t.d * {ratio}::DOUBLE + 1e-9::DOUBLE
     AND coalesce(b.pred <> a.src, true) AND coalesce(f.pred <> a.dst, true) AND a.edge_id <> s.edge_id AND a.edge_id <> e.edge_id
     AND NOT list_contains(f.es, e.edge_id) AND NOT list_contains(b.es, s.edge_id) AND NOT list_contains(f.es, s.edge_id) AND NOT list_contains(b.es, e.edge_id)
+), leave AS (
+  SELECT t.o, t.dest, CAST(NULL AS BIGINT) AS src, c.node AS dst, c.edge_id, c.dir, t.trips, t.d, c.w + b.d AS cost
+  FROM trips t JOIN (SELECT pt_id, edge_id, u AS node, w_start AS w, 1 AS dir FROM origins UNION ALL SELECT pt_id, edge_id, v, w_end, 0 FROM origins) c ON c.pt_id = t.o
+  JOIN be b ON b.o = t.dest AND b.node = c.node WHERE c.w + b.d <= t.d * {ratio}::DOUBLE + 1e-9::DOUBLE AND NOT list_contains(b.es, c.edge_id)
+), arrive AS (
+  SELECT t.o, t.dest, c.node AS src, CAST(NULL AS BIGINT) AS dst, c.edge_id, c.dir, t.trips, t.d, f.d + c.w AS cost
+  FROM trips t JOIN (SELECT pt_id, edge_id, u AS node, w_start AS w, 0 AS dir FROM destinations UNION ALL SELECT pt_id, edge_id, v, w_end, 1 FROM destinations) c ON c.pt_id = t.dest
+  JOIN fe f ON f.o = t.o AND f.node = c.node WHERE f.d + c.w <= t.d * {ratio}::DOUBLE + 1e-9::DOUBLE AND NOT list_contains(f.es, c.edge_id)
+), cand AS (
+  SELECT *, 1 / (1 + exp(ln(99) / 150 * greatest(cost - d, 0))) AS pen FROM (SELECT * FROM net UNION ALL SELECT * FROM leave UNION ALL SELECT * FROM arrive)
 ), via AS (SELECT o, dest, src, dst, edge_id, dir, trips * pen / sum(pen) OVER (PARTITION BY o, dest) AS q FROM cand),
 leg1 AS (SELECT v.q, f.o, f.root, f.path FROM via v JOIN fwd f ON f.o = v.o AND f.node = v.src),
 leg2 AS (SELECT v.q, b.o, b.root, b.path FROM via v JOIN bwd b ON b.o = v.dest AND b.node = v.dst),

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the whole cluster shares.
+"""Intermediate tables in the folder that the whole cluster shares, and what is done to files there.
 
 A staged table cuts lineage: what reads it never recomputes what made it, and a lost
 executor loses nothing, since the files stand in ``spark.checkpoint.dir``.  A parquet
@@ -7,19 +7,21 @@ table is preferred to ``checkpoint()`` because readers prune its columns.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; where none is set, a temporary one in local mode (tests), and an error elsewhere."""
     root = spark.conf.get(_DIR, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_DIR} to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='wayfold-')}"
         spark.conf.set(_DIR, root)
     return root.rstrip("/")
@@ -45,9 +47,43 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``max_rows`` rows; else leave the join to Spark.
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    The count stops at the bound, so a large table is never read whole for it.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
+def stamp_of(spark: SparkSession, path: str) -> str:
+    """What changes when a file or folder does: sizes and times of its files; empty where there is none."""
+    fs, at = _file(spark, path)
+    if not fs.exists(at):
+        return ""
+    found = fs.listStatus(at) if fs.getFileStatus(at).isDirectory() else [fs.getFileStatus(at)]
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a finished folder in its place, in one step; what stood there goes."""
+    fs, at = _file(spark, target)
+    fs.delete(at, True)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(_file(spark, source)[1], at):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def cached(spark: SparkSession, folder: str, name: str, key: str, build) -> DataFrame:
+    """A table that stands in ``folder`` under the hash of what it is made from; made and put there the first time."""
+    path = f"{folder.rstrip('/')}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        half = f"{path}.{uuid.uuid4().hex}"
+        build().write.parquet(half)
+        if exists(spark, f"{path}/_SUCCESS"):  # another session was faster: both made the same
+            fs, at = _file(spark, half)
+            fs.delete(at, True)
+        else:
+            publish(spark, half, path)
+    return spark.read.parquet(path)
