@@ -113,8 +113,7 @@ def test_whole_turn_pairs_are_of_all_origins_at_the_radius(spark, lattice):
             if min(found) <= queries.R:
                 want[i, 100 + j] = min(found)
     city = types.SimpleNamespace(edges=edges, nodes=nodes, origins=o, destinations=d)
-    got = {(r["o"], r["dest"]): r["d"] for r in queries.turn_od_whole(city).collect()}
-    assert "J8_J10_turn_od_whole" in queries.QUERIES
+    got = {(r["o"], r["dest"]): r["d"] for r in queries.turn_od(city).collect()}
     assert got == pytest.approx(want) and {i for i, _ in got} == set(range(1, 12)) and max(got.values()) > 400
 
 
@@ -175,31 +174,6 @@ def test_alternatives_repeat_and_stay_within_budget(spark, lattice):
     assert all(r["s"] == pytest.approx(1.0) for r in shares.groupBy("o", "dest").agg(F.sum("share").alias("s")).collect())
 
 
-def test_files_to_results(spark, tmp_path):
-    from wayfold.facade import Session, run_accessibility, run_batch, run_flow, run_odm
-
-    def layer(name, kind, rows):
-        features = [{"type": "Feature", "properties": p, "geometry": {"type": kind, "coordinates": c}} for c, p in rows]
-        (tmp_path / name).write_text(json.dumps({"type": "FeatureCollection", "features": features}))
-
-    lines = [([[100 * c, 100 * r], [100 * (c + dc), 100 * (r + dr)]], {"Length": 100.0}) for r in range(4) for c in range(3) for dr, dc in ((0, 1), (1, 0)) if c + dc < 3 and r + dr < 4]
-    assert len(lines) == 17
-    layer("network.geojson", "LineString", lines)
-    layer("origins.geojson", "Point", [([205, 205], {"OID": "O1", "Count": 20})])
-    layer("destinations.geojson", "Point", [([205, 5], {"DID": "D0", "Count": 30})])
-    s = Settings(name="a", data_folder=str(tmp_path), network_file="network.geojson", origins_file="origins.geojson", destinations_file="destinations.geojson",
-                 origin_uid_column="OID", destination_id_column="DID", search_radius=1000.0, output_folder=str(tmp_path / "out"), output_wStamp=False)
-    session = Session(spark, s)
-    odm = run_odm(session).first()
-    # The origin snaps 5 along an edge of the lattice, the destination to one of two edges as near.
-    assert (odm["origin"], odm["destination"]) == ("O1", "D0") and odm["distance"] in (200.0, 205.0, 210.0)
-    assert run_accessibility(session).first()["reach"] == 1.0
-    assert run_flow(session)["edge_flow"].count() == 17
-    out = run_batch(spark, [s, Settings(name="none")])
-    assert out["none"].startswith("skipped") and spark.read.parquet(out["a"]).count() == 1
-    assert run_batch(spark, [s])["a"] == out["a"]
-
-
 def test_settings_rows_and_projects(tmp_path):
     path = tmp_path / "pairings.csv"
     path.write_text("name,search_radius,elevation,knn_weights,flow_n_alternatives,unknown\na,600,Yes,\"[1, 0.5]\",5.0,x\nb,,nan,,,\n")
@@ -225,7 +199,7 @@ def test_writers(spark, tmp_path):
     with sqlite3.connect(tmp_path / "x" / "a.sqlite") as db:
         assert db.execute("SELECT * FROM od").fetchall() == [(1, "a")]
     writers.write_feather(df.select("edge_id", "name"), str(tmp_path / "a.feather"))
-    assert spark.createDataFrame(__import__("pyarrow.feather").feather.read_table(tmp_path / "a.feather")).count() == 1
+    assert readers.feather_table(str(tmp_path / "a.feather")).num_rows == 1
 
 
 def test_entry_lists_every_query():

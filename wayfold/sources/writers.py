@@ -25,11 +25,26 @@ def _geometry(coords: str, kind: str, digits: int = 6) -> Column:
     return F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), text, F.lit("}"))
 
 
-def write_geojson(df: DataFrame, path: str, kind: str = "LineString") -> None:
-    """A folder of newline-delimited features, six digits; each task writes its own part."""
+def _features(df: DataFrame, kind: str) -> DataFrame:
     props = [c for c in df.columns if c not in ("coords", "kind")]
     line = F.concat(F.lit('{"type":"Feature","geometry":'), _geometry("coords", kind), F.lit(',"properties":'), F.to_json(F.struct(*props), {"ignoreNullFields": "false"}), F.lit("}"))
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    return df.select(line.alias("value"))
+
+
+def write_geojson(df: DataFrame, path: str, kind: str = "LineString") -> None:
+    """A folder of newline-delimited features, six digits; each task writes its own part.  ``write_collection`` makes one document."""
+    _features(df, kind).write.mode("overwrite").text(path)
+
+
+def write_collection(df: DataFrame, path: str, kind: str = "LineString") -> None:
+    """One GeoJSON document (a FeatureCollection), streamed through the driver feature by feature."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    lines = (r["value"] for r in _features(df, kind).toLocalIterator())
+    with open(path, "w") as f:
+        f.write('{"type":"FeatureCollection","features":[')
+        for k, line in enumerate(lines):
+            f.write(("," if k else "") + "\n" + line)
+        f.write("\n]}\n")
 
 
 def write(df: DataFrame, path: str, s: Settings, kind: str | None = None) -> list[str]:
@@ -45,13 +60,21 @@ def write(df: DataFrame, path: str, s: Settings, kind: str | None = None) -> lis
     return out
 
 
-def write_feather(df: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
-    """One feather file, through the driver: for tables of at most ``max_rows`` rows."""
-    from pyarrow import feather
+def write_feather(df: DataFrame, path: str, chunk: int = 100_000) -> None:
+    """One feather file, streamed through the driver in chunks of rows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"over {max_rows} rows; write parquet instead")
-    feather.write_feather(df.toArrow(), path)
+    schema = to_arrow_schema(df.schema)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as out:
+        rows = []
+        for row in df.toLocalIterator():
+            rows.append(row.asDict(recursive=True))
+            if len(rows) >= chunk:
+                out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+                rows = []
+        out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, chunk: int = 50_000) -> None:
@@ -75,6 +98,46 @@ def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*(F.col(c) if c in [*keys, "coords", "kind"] else F.col(c).alias(prefix + c) for c in df.columns))
 
 
+#: Ids, which keep their names.
+KEYS = ["pt_id", "uid", "edge_id", "node_id", "o", "dest", "alt", "origin", "destination", "x", "y", "z"]
+
+#: Tables of a flow run besides the edges: what they are called in files, and their geometry.
+FLOW_TABLES = [
+    ("node_flow", "network_nodes", None), ("observers", "observer_points", "Point"), ("obstacles", "obstacle_points_usage", "Point"),
+    ("used_origins", "destinations_used_origins", None), ("routes", "routes", "LineString"),
+]
+
+
+def access_name(metric: str, s: Settings) -> str:
+    """A metric's column in files: that of the nearest destinations tells its decay."""
+    return metric if metric != "knn_access" else "knn" if s.knn_decay == "none" else f"knn_{s.knn_decay}"
+
+
+def access_named(df: DataFrame, s: Settings) -> DataFrame:
+    return prefixed(df.withColumnsRenamed({"knn_access": access_name("knn_access", s)}), s.result_prefix, KEYS)
+
+
+def point_along(coords: str, share: str) -> Column:
+    """The point of a line at a share of its length."""
+    steps = f"zip_with(slice({coords}, 1, size({coords}) - 1), slice({coords}, 2, size({coords})), (a, b) -> hypot(b.x - a.x, b.y - a.y))"
+    upto = f"aggregate({steps}, array(0D), (s, d) -> concat(s, array(element_at(s, -1) + d)))"
+    # The last piece that begins no further along than the share.
+    found = f"""aggregate(sequence(1, size({coords}) - 1), named_struct('x', {coords}[0].x, 'y', {coords}[0].y, 'z', cast(null as double)), (s, i) ->
+      if(({upto})[i - 1] <= {share} * element_at({upto}, -1), named_struct(
+        'x', {coords}[i - 1].x + ({coords}[i].x - {coords}[i - 1].x) * coalesce(least(1D, ({share} * element_at({upto}, -1) - ({upto})[i - 1]) / nullif(({upto})[i] - ({upto})[i - 1], 0D)), 0D),
+        'y', {coords}[i - 1].y + ({coords}[i].y - {coords}[i - 1].y) * coalesce(least(1D, ({share} * element_at({upto}, -1) - ({upto})[i - 1]) / nullif(({upto})[i] - ({upto})[i - 1], 0D)), 0D),
+        'z', cast(null as double)), s))"""
+    return F.expr(found)
+
+
+def named_routes(routes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
+    """Routes with the uids of both ends and their line, in the order of origin, destination and rank."""
+    lines = route_lines(routes, edges)
+    rows = routes.select("o", "dest", "alt", "cost", "share", "volume").join(lines, ["o", "dest", "alt"])
+    rows = rows.join(origins.select(F.col("pt_id").alias("o"), F.col("uid").alias("origin")), "o").join(destinations.select(F.col("pt_id").alias("dest"), F.col("uid").alias("destination")), "dest")
+    return rows.select("o", "dest", "alt", "origin", "destination", "cost", "share", "volume", "coords", F.lit("LineString").alias("kind")).orderBy("o", "dest", "alt")
+
+
 def route_lines(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """(o, dest, alt, coords): the points of each route's edges, in the order of travel, turned where travelled backwards."""
     legs = routes.select("o", "dest", "alt", F.posexplode("legs").alias("pos", "leg"))
