@@ -275,7 +275,7 @@ def test_hulls_and_masks(spark):
 
     rnd = random.Random(2)
     pts = [(k % 2, k, (k % 2) * 5000 + rnd.uniform(0, 100), rnd.uniform(0, 100)) for k in range(400)]
-    corners = [(g, 1000 + 4 * g + i, g * 5000 + x, y) for g in (0, 1) for i, (x, y) in enumerate([(0, 0), (100, 0), (100, 100), (0, 100)])]
+    corners = [(g, 1000 + 4 * g + i, g * 5000.0 + x, y) for g in (0, 1) for i, (x, y) in enumerate([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)])]
     rows = spark.createDataFrame(pts + corners, "g long, pt_id long, x double, y double").repartition(7)
     got = {r["g"]: [(p["x"], p["y"]) for p in r["ring"]] for r in areas.hulls(rows, "g").collect()}
     assert got == {g: [(5000.0 * g, 0.0), (5000.0 * g + 100, 0.0), (5000.0 * g + 100, 100.0), (5000.0 * g, 100.0)] for g in (0, 1)}

@@ -384,9 +384,9 @@ _OFF = "off AS (SELECT s_suppkey AS pt_id, CAST((s_suppkey * 137) % 1000 AS DOUB
         """pr AS (SELECT pt_id, x, y, s.*, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t FROM off CROSS JOIN seg s)""",
         """ex AS (SELECT *, x - (x1 + t * (x2 - x1)) AS ex, y - (y1 + t * (y2 - y1)) AS ey FROM pr)""",
         """best AS (SELECT *, ex * ex + ey * ey AS d2, row_number() OVER (PARTITION BY pt_id ORDER BY ex * ex + ey * ey, edge_id, seg) AS k FROM ex)""",
-        """at AS (SELECT *, (before + t * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) / total AS frac FROM best WHERE k = 1)""",
+        """found AS (SELECT *, (before + t * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) / total AS frac FROM best WHERE k = 1)""",
     )
-    + " SELECT pt_id, edge_id, round(frac, 4) AS frac, round(sqrt(d2), 4) AS snap_dist, round(weight * frac, 4) AS w_start, round(weight * (1 - frac), 4) AS w_end FROM at",
+    + " SELECT pt_id, edge_id, round(frac, 4) AS frac, round(sqrt(d2), 4) AS snap_dist, round(weight * frac, 4) AS w_start, round(weight * (1 - frac), 4) AS w_end FROM found",
 )
 def nearest_edge(c: City) -> DataFrame:
     k = F.col("s_suppkey")
@@ -569,9 +569,11 @@ def _flow(c: City):
 _FLOW = f"{with_od(same_edge=False, reach=R * S.flow_detour_ratio)}, {sql.trips()}, {sql.flow(S.flow_detour_ratio)}"
 
 
-@query("F8_F9_via_arcs", f"{_FLOW} SELECT o, dest, src, dst, edge_id, CAST(dir AS INTEGER) AS dir, round(q, 4) AS q FROM via")
+@query("F8_F9_via_arcs", f"{_FLOW} SELECT o, dest, coalesce(src, -1) AS src, coalesce(dst, -1) AS dst, edge_id, CAST(dir AS INTEGER) AS dir, round(q, 4) AS q FROM via")
 def via_arcs(c: City) -> DataFrame:
-    return _flow(c)[1].select("o", "dest", "src", "dst", "edge_id", "dir", F.round("q", 4).alias("q"))
+    """Stretches have no src or no dst: -1."""
+    ends = [F.coalesce(n, F.lit(-1)).cast("long").alias(n) for n in ("src", "dst")]
+    return _flow(c)[1].select("o", "dest", *ends, "edge_id", "dir", F.round("q", 4).alias("q"))
 
 
 @query("F11_delivered", f"{_FLOW} SELECT t.o, t.dest, round(any_value(t.trips), 4) AS trips, round(coalesce(sum(q), 0), 4) AS delivered, abs(coalesce(sum(q), 0) - any_value(t.trips)) > 1e-6 * greatest(1, any_value(t.trips)) AS gap FROM trips t LEFT JOIN via v ON v.o = t.o AND v.dest = t.dest GROUP BY t.o, t.dest")

@@ -7,6 +7,8 @@ table is preferred to ``checkpoint()`` because readers prune its columns.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -20,18 +22,35 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set, a temporary one in local mode (tests), and an error elsewhere."""
     root = spark.conf.get(_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise RuntimeError(f"set {_DIR} to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='wayfold-')}"
         spark.conf.set(_DIR, root)
     return root.rstrip("/")
 
 
+#: Folders that go when the driver ends.
+_SWEPT: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder; it is deleted when the driver's Python ends, as what stands there has no other reader."""
+    folder = f"{shared_dir(spark)}/wayfold/{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, *_file(spark, folder))
+    return folder
+
+
+def _sweep(fs, at) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        fs.delete(at, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet under the shared folder and return the written table."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/wayfold/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
