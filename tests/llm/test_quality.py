@@ -2,6 +2,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+
 from wayfold.llm import quality_classifier, quality_rules, textstats
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -60,6 +62,65 @@ def test_rules_are_learned_and_good_documents_stay(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
 
 
+def brute_ratios(text):
+    """The measures that rules are about, counted in Python."""
+    text = text or ""
+    words = WORD.findall(text)
+    n, chars, symbols, dup_lines, repeated = brute(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "words": float(n), "word_length": share(chars, n), "symbol_share": share(symbols, n), "dup_line_share": share(dup_lines, len(lines)),
+        "repeat_share": share(repeated, n), "upper_share": share(len(re.findall("[A-Z]", text)), len(text)), "bang_share": share(text.count("!"), n),
+        "distinct_share": share(len(set(words)), n), "line_words": share(n, len(lines)),
+    }
+
+
+def brute_kept(text, rules):
+    n, *_, repeated = brute(text)
+    if n < 10 or 100 * repeated > 20 * n:
+        return False
+    x = brute_ratios(text)
+    return not any(all((x[c.measure] > c.threshold) == c.above for c in rule.conditions) for rule in rules)
+
+
+def test_verdicts_follow_the_list(spark, docs):
+    rows, labels = corpus(700, seed=8)
+    rows += [(10_000 + i, t) for i, (_, t) in enumerate(EDGES)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = quality_rules.fit(textstats.with_counts(docs(rows, extra=False)), known)
+    assert rules
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs(rows), known).collect()}
+    assert got == {i: brute_kept(t, rules) for i, t in rows}
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs(rows), known).collect()} == {i for i in got if got[i]}
+
+
+def test_classifier_scores_follow_the_model(spark, docs):
+    rows, labels = corpus(300, seed=9)
+    rows += [(10_000 + i, t) for i, (_, t) in enumerate(EDGES)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    stats = textstats.with_counts(docs(rows, extra=False)).select("doc_id", *(c.alias(n) for n, c in quality_classifier.statistics().items()))
+    model = quality_classifier.learn(stats, known)
+
+    def inputs(text):
+        x = brute_ratios(text)
+        return [np.log1p(v) if k in ("words", "word_length", "line_words") else np.sqrt(v) for k, v in x.items()] + [np.log1p(len(text or ""))]
+
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(docs(rows), known).collect()}
+    want = dict(zip((i for i, _ in rows), model.score(np.array([inputs(t) for _, t in rows]))))
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_classifier_with_a_handful_of_labels(spark, docs):
+    rows, _ = corpus(60, seed=11)
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    for k in range(0, 12, 2):
+        known = spark.createDataFrame([(train[k], 0, 0), (train[k + 1], 1, 0)], "doc_id long, quality int, toxic int")
+        got = quality_classifier.quality_scores(docs(rows), known).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_classifier.quality_scores(docs([]), known).count() == 0
+
+
 def test_rules_on_edges_and_empty_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_rules.quality_rules(docs(EDGES), none).collect()
@@ -87,7 +148,5 @@ def test_classifier_without_labels(spark, docs):
 
 
 def test_isotonic_is_monotone_least_squares():
-    import numpy as np
-
     knots, values = quality_classifier.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert values.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [1.0, 2.5, 4.0]
