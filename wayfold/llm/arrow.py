@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows and bytes of what is worked on at once; texts may be long, and a worker holds one part and what it makes of it.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

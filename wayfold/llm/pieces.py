@@ -46,7 +46,8 @@ class PieceParams:
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     sharpness: float = 5e-4
     seed: int = 1
-    remembered: int = 300_000
+    remembered: int = 200_000
+    part: int = 100_000
     short: int = 40
 
 
@@ -226,6 +227,18 @@ class Codec:
                 rngs.append(None)
             upto.append(len(stretches))
         u, upto = np.concatenate(draws), np.array(upto, np.int64)
+        n, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        # A long text makes several parts, so what is held beside the ids doesn't grow with it.
+        for a in range(0, len(stretches), self.params.part):
+            b = min(a + self.params.part, len(stretches))
+            found = self._encode_part(stretches[a:b], u[a:b], lambda i, a=a: rngs[np.searchsorted(upto, a + i, side="right")])
+            ids.append(found[0])
+            n.append(found[1])
+        ends = np.cumsum(np.concatenate([[0], *n]))
+        return np.concatenate(ids), np.diff(ends[np.concatenate([[0], upto])])
+
+    def _encode_part(self, stretches: list[str], u: np.ndarray, rng_of) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some stretches, one after another, and how many each has."""
         code = np.fromiter(map(self.code.get, stretches, repeat(-1)), np.int64, len(stretches))
         # Where the interval below a key isn't the one around it, the draw is inverted by itself.
         k = np.maximum(np.searchsorted(self.key, code + u, side="right") - 1, 0)
@@ -238,26 +251,27 @@ class Codec:
         numbers = {s: k for k, s in enumerate(new)}
         of = np.fromiter(map(numbers.get, words, repeat(-1)), np.int64, len(words))
         draw, of, long = missed[of >= 0], of[of >= 0], missed[of < 0].tolist()
-        pool = self.pool
+        extra = [self.pool]
+        beyond = len(self.pool)
         if len(draw):
             low, high, n[draw], ids = self._invert(new, of, u[draw])
-            at[draw] = len(pool) + np.cumsum(n[draw]) - n[draw]
-            pool = np.concatenate([pool, ids])
+            at[draw] = beyond + np.cumsum(n[draw]) - n[draw]
+            extra.append(ids)
+            beyond += len(ids)
             codes = np.array([self.code.setdefault(s, len(self.code)) for s in new], np.int64)[of]
             fits = (low <= u[draw]) & (u[draw] < high)
             self._remember(codes[fits], low[fits], high[fits], n[draw][fits], ids[np.repeat(fits, n[draw])])
         more: list[int] = []
         for i in long:
-            ids = self._long(stretches[i], rngs[np.searchsorted(upto, i, side="right")])
-            at[i], n[i] = len(pool) + len(more), len(ids)
+            ids = self._long(stretches[i], rng_of(i))
+            at[i], n[i] = beyond + len(more), len(ids)
             more += ids
-        pool = np.concatenate([pool, np.array(more, np.int64)])
+        pool = np.concatenate([*extra, np.array(more, np.int64)])
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        out = pool[np.arange(total) + np.repeat(at - (ends - n), n)].astype(np.int32)
+        out = pool[np.arange(int(ends[-1])) + np.repeat(at - (ends - n), n)].astype(np.int32)
         if len(self.code) >= self.params.remembered:
             self._forget()
-        return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], upto])])
+        return out, n
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids))
