@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.tables import training_labels
-from wayfold.llm.textstats import COUNTS, base_failed, ratios, with_counts
+from wayfold.llm.textstats import COUNTS, MORE_COUNTS, base_failed, ratios, with_counts
 from wayfold.plans.staging import stage
 
 
@@ -204,15 +204,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleP
 def keep_good(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned list keep, with their own columns.
 
-    Counts of the labelled rows are learned from first; the texts are then judged in one
-    pass that needs no shuffle.
+    One pass counts every text and writes rows and counts side by side; the labelled rows'
+    counts are learned from, and all rows are judged by theirs.
     """
-    known = training_labels(labels, "quality", params.max_labelled)
-    inner = docs.select("doc_id", "text")
-    stats = stage(with_counts(inner).drop("text"), "rules-counts")
-    rules = learn(stats.join(known, "doc_id"), params)
     body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("__text"))
-    # A filter pushed below the counts would repeat their expressions in each other without end;
-    # none is pushed below a column that isn't deterministic.
-    judged = judge(with_counts(body, "__text"), rules).withColumn("__place", F.monotonically_increasing_id())
-    return judged.where("kept and __place >= 0").select("row.*")
+    counted = stage(with_counts(body, "__text").drop("__text"), "rules-rows")
+    rules = fit(counted.select("row.doc_id", *COUNTS, *MORE_COUNTS), labels, params)
+    return judge(counted, rules).where("kept").select("row.*")
