@@ -1,8 +1,9 @@
 """From raw documents to sampled piece ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir), reads all that the one before it kept, and returns a
-DataFrame; ``run`` writes it as Parquet in the shared folder and reads it again for the next.
-All but the last return the columns of ``documents``.
+DataFrame; ``run`` writes it as Parquet in the shared folder, reads it again for the next, and
+deletes what went into it.  A stage leaves no copy of the texts there: rows that go are left out by
+number.  All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from wayfold.llm.pieces import encode_pieces
 from wayfold.llm.quality_rules import keep_good
 from wayfold.llm.secrets import redact_secrets
 from wayfold.llm.tables import table
-from wayfold.plans.staging import stage
+from wayfold.plans.staging import stage, unstage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, apply) in enumerate(STAGES):
+        made = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            unstage(docs)
+        docs = made
     return docs

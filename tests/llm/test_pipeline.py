@@ -1,5 +1,8 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tests.llm.test_texts import base_brute
 from wayfold.llm import quality_rules, textstats
 from wayfold.llm.secrets import redact_text
 from wayfold.llm.tables import table
+from wayfold.plans.staging import shared_dir
 from wayfold.plans.staging import stage as staged
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +76,30 @@ def test_an_empty_table_passes_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def standing(spark, label=""):
+    """Bytes of the application's tables in the shared folder."""
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "wayfold" / spark.sparkContext.applicationId
+    return sum(f.stat().st_size for f in folder.glob(f"{label}*/*.parquet"))
+
+
+def test_stages_leave_no_copy_of_the_texts(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(1_000)), "en", "s", 1) for i in range(600)]
+    rows += [(600 + i, rows[i][1], "en", "s", 1) for i in range(60)]
+    path = f"{tmp_path}/documents"
+    spark.createDataFrame(rows, table(spark, SF, "documents").schema).write.parquet(path)
+    whole = sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = standing(spark)
+        stage(spark, spark.read.parquet(path), SF).write.parquet(path := f"{tmp_path}/{name}")
+        assert standing(spark) - before < 0.1 * whole, name
+    assert spark.read.parquet(path).count() == 600
+
+
+def test_a_run_keeps_its_result_alone(spark):
+    before = {name: standing(spark, f"pipeline-{name}") for name, _ in corpus_pipeline.STAGES}
+    out = corpus_pipeline.run(spark, SF)
+    grown = {name: standing(spark, f"pipeline-{name}") - before[name] for name, _ in corpus_pipeline.STAGES}
+    assert [name for name, b in grown.items() if b] == ["sentencepiece"] and out.count()

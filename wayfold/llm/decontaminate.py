@@ -36,6 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.rows import Bits, numbered, without
 from wayfold.llm.skew import join_by_count
 from wayfold.plans.staging import stage
 
@@ -101,10 +102,10 @@ def _placed(matches: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def _by_bitmap(docs: DataFrame, table: DataFrame, ks: list[int], p: DecontaminationParams) -> tuple[DataFrame, DataFrame]:
-    test = _Bits(table, p)
+    test = Bits(table.select("shingle"), 64, p.max_bits)
     out, found = _scanned(docs, ks, lambda k: F.filter(F.expr(f"slice(__s{k}, 1, greatest(size(__s{k}) - {k - 1}, 0))"), test))
     prefixes = _prefixes(table, out.select(F.explode(found).alias("shingle")))
-    test = _Bits(prefixes, p)
+    test = Bits(prefixes.select("shingle"), 64, p.max_bits)
     around = p.window - 1
 
     def matches(k: int) -> Column:
@@ -139,34 +140,6 @@ def _by_join(docs: DataFrame, table: DataFrame, ks: list[int], p: Decontaminatio
     return rows.select(*rows.drop("text").columns, F.size(words("text")).cast("long").alias("n_words")), occurrences
 
 
-class _Bits:
-    """Tests a shingle hash against the bitmap of a table's ``shingle`` column, in two places."""
-
-    def __init__(self, shingles: DataFrame, p: DecontaminationParams):
-        n = shingles.select("shingle").distinct().count()
-        self.bits = 64
-        while self.bits < min(64 * n, p.max_bits):
-            self.bits *= 2
-        rows = (
-            shingles.select(F.explode(F.array(*self._places(F.col("shingle")))).alias("place"))
-            .select(F.floor(F.col("place") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-        )
-        held = [0] * (self.bits // 64)
-        for r in rows:
-            held[r["at"]] = r["bits"]
-        # Folded into one literal array when the query is optimized.
-        self.literal = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
-
-    def _places(self, x: Column) -> tuple[Column, Column]:
-        """``bits`` is a power of two, so its lower and higher bits are two independent numbers."""
-        return x.bitwiseAND(F.lit(self.bits - 1)), F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(self.bits - 1))
-
-    def __call__(self, x: Column) -> Column:
-        one, two = (F.getbit(F.get(self.literal, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1 for place in self._places(x))
-        return one & two
-
-
 def find_windows(docs: DataFrame, items: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of ``docs`` (text and whatever is to be kept), their occurrences and the items of windows.
 
@@ -214,7 +187,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminationPara
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """The rows of ``docs`` without any window of an item, with all columns."""
-    # Within a struct, as further columns may have any name.
-    body = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")
-    rows, occurrences, _ = find_windows(docs.select(body, "text"), items, params)
-    return rows.join(occurrences.select("row").distinct(), "row", "left_anti").select("body.*")
+    rows = numbered(docs)
+    scanned, occurrences, _ = find_windows(rows.select(F.col("row").alias("of"), "body.text"), items, params)
+    gone = stage(scanned.join(occurrences, "row", "left_semi").select(F.col("of").alias("row")), "decon-gone")
+    return without(rows, gone).select("body.*")

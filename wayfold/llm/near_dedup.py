@@ -18,9 +18,10 @@
 What can be missed is a pair that meets in no bucket: at a similarity of 0.8,
 ``(1 - 0.8 ** rows) ** bands``, 3e-6 with the defaults, and less for closer pairs.
 
-Rows are numbered in a table of the shared folder first: what is joined again later is joined
-by that number, so neither null nor repeated ids make a hot key or multiply rows.  A hub with many
-leaves is dealt out under several salts, ``leaves`` of them each.
+Rows have numbers that hold whenever they are read (``rows.numbered``): what is joined again later
+is joined by that number, so neither null nor repeated ids make a hot key or multiply rows, and no
+copy of the texts is written.  A hub with many leaves is dealt out under several salts, ``leaves`` of
+them each.  Tables of the shared folder are deleted as soon as nothing reads them again.
 
 Edge cases: null and empty texts have empty sets and are linked with nothing; a text of
 fewer words than a shingle is one shingle; rows with the same doc_id are judged each by its own
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.arrow import map_batches
 from wayfold.llm.components import components
+from wayfold.llm.rows import maybe, numbered, without
 from wayfold.plans.staging import stage, unstage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,7 +252,9 @@ def _within_stars(confirmed: DataFrame, sets: DataFrame, labels: DataFrame, p: D
                 found += [(u.leaf, b) for b in ids[hit][first]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return outside.union(others).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    found = stage(outside.union(others).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "dedup-more")
+    unstage(members)
+    return found
 
 
 def _judged(rows: DataFrame, p: DedupParams) -> DataFrame:
@@ -262,8 +266,10 @@ def _judged(rows: DataFrame, p: DedupParams) -> DataFrame:
     stars, salts = _stars(filled.join(nodes.select("row"), "row", "left_semi").select("node", "bands"), p)
     leaves = stars.groupBy(F.col("leaf").alias("node")).agg(F.collect_list(F.struct("hub", "salt")).alias("hubs"))
     wanted = leaves.join(salts.select(F.col("hub").alias("node"), "salts"), "node", "full")
-    wanted = wanted.join(nodes, "node").select("row", "node", F.coalesce("hubs", F.array().cast(_HUBS)).alias("hubs"), "salts")
-    sets = stage(_sets(rows.select("row", "text").join(wanted, "row"), p), "dedup-sets")
+    wanted = stage(wanted.join(nodes, "node").select("row", "node", F.coalesce("hubs", F.array().cast(_HUBS)).alias("hubs")), "dedup-wanted")
+    # Most texts are in no star, and aren't shuffled.
+    sets = stage(_sets(rows.select("row", "text").where(maybe(wanted)).join(wanted, "row"), p), "dedup-sets")
+    unstage(wanted)
     salted = salts.select("hub", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     hub_sets = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("tb")).join(salted, "hub")
     confirmed = stage(
@@ -272,12 +278,14 @@ def _judged(rows: DataFrame, p: DedupParams) -> DataFrame:
         .select("leaf", "hub", F.size(F.array_intersect("ta", "tb")).cast("long").alias("inter"), F.size("ta").cast("long").alias("n_a"), F.size("tb").cast("long").alias("n_b")),
         "dedup-confirmed",
     )
+    unstage(stars)
     links = stage(confirmed.where(_linked(p)).select(F.col("leaf").alias("a"), F.col("hub").alias("b")), "dedup-links")
     labels = components(links)
-    more = stage(_within_stars(confirmed, sets, labels, p), "dedup-more")
+    more = _within_stars(confirmed, sets, labels, p)
     unstage(sets)
     unstage(confirmed)
     if more.limit(1).count():
+        unstage(labels)
         labels = components(links.union(more))
     unstage(links)
     unstage(more)
@@ -285,17 +293,17 @@ def _judged(rows: DataFrame, p: DedupParams) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = rooted.select("node", "root").join(named, "root")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return sketched.select("row", "doc_id", "n_shingles", "node").join(by_node, "node", "left").select("row", "doc_id", "n_shingles", component.alias("component_id"), "root")
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return stage(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "dedup-rows")
+    judged = sketched.select("row", "doc_id", "n_shingles", "node").join(by_node, "node", "left").select("row", "doc_id", "n_shingles", component.alias("component_id"), "root")
+    judged = stage(judged, "dedup-judged")
+    for table in (sketched, nodes, labels):
+        unstage(table)
+    return judged
 
 
 def near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return _judged(_numbered(docs.select("doc_id", "text")), params).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return _judged(numbered(docs).select("row", "body.doc_id", "body.text"), params).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -> DataFrame:
@@ -304,10 +312,11 @@ def drop_near_duplicates(docs: DataFrame, params: DedupParams = DedupParams()) -
     It is a row with the group's smallest doc_id; the first such row, if there are several, and the
     first of all, if none has an id.
     """
-    # Within a struct, as further columns may have any name.
-    rows = _numbered(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("body")))
+    rows = numbered(docs)
     names = F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    judged = stage(_judged(rows.select("row", "body.doc_id", "body.text"), params).select("row", "root", names.alias("names")), "dedup-judged")
-    chosen = judged.where("root is not null and names").groupBy("root").agg(F.min("row").alias("row")).select("row")
-    kept = chosen.union(judged.where("root is null").select("row"))
-    return rows.join(kept, "row", "left_semi").select("body.*")
+    judged = _judged(rows.select("row", "body.doc_id", "body.text"), params)
+    grouped = judged.where("root is not null")
+    chosen = grouped.where(names).groupBy("root").agg(F.min("row").alias("row")).select("row")
+    gone = stage(grouped.select("row").join(chosen, "row", "left_anti"), "dedup-gone")
+    unstage(judged)
+    return without(rows, gone).select("body.*")

@@ -20,9 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.rows import numbered, without
 from wayfold.llm.tables import training_labels
-from wayfold.llm.textstats import COUNTS, MORE_COUNTS, base_failed, ratios, with_counts
-from wayfold.plans.staging import stage
+from wayfold.llm.textstats import COUNTS, base_failed, ratios, with_counts
+from wayfold.plans.staging import stage, unstage
 
 
 @dataclass(frozen=True)
@@ -204,10 +205,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleP
 def keep_good(docs: DataFrame, labels: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned list keep, with their own columns.
 
-    One pass counts every text and writes rows and counts side by side; the labelled rows'
-    counts are learned from, and all rows are judged by theirs.
+    One pass counts every text and writes the counts with the rows' numbers; the labelled rows'
+    counts are learned from, all rows are judged by theirs, and the rows that fail are left out by number.
     """
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("__text"))
-    counted = stage(with_counts(body, "__text").drop("__text"), "rules-rows")
-    rules = fit(counted.select("row.doc_id", *COUNTS, *MORE_COUNTS), labels, params)
-    return judge(counted, rules).where("kept").select("row.*")
+    rows = numbered(docs)
+    counted = stage(with_counts(rows.select("row", "body.doc_id", "body.text")).drop("text"), "rules-counts")
+    gone = stage(judge(counted, fit(counted, labels, params)).where("not kept").select("row"), "rules-gone")
+    unstage(counted)
+    return without(rows, gone).select("body.*")
