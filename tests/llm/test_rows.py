@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.llm.arrow import map_batches
 from wayfold.llm.rows import numbered, without
 from wayfold.plans.staging import stage
 
@@ -41,3 +42,13 @@ def test_without_is_exact_however_full_the_bitmap_is(spark, bits):
         gone = stage(rows.where(test).select("row"), "gone")
         left = sorted(r["id"] for r in without(rows, gone.union(gone), bits).select("body.*").collect())
         assert left == sorted(r["id"] for r in rows.where(f"not ({test})").select("body.*").collect())
+
+
+def test_parts_of_a_batch_have_the_bytes_that_an_operator_asks_for(spark):
+    texts = spark.range(0, 1_000, 1, 1).select("id", F.repeat(F.lit("x"), 1_000).alias("text"))
+
+    def sizes():
+        return lambda batch: {"id": batch["id"], "rows": [len(batch["id"])] * len(batch["id"])}
+
+    got = map_batches(texts, sizes, "id long, rows long", 20_000).collect()
+    assert sorted(r["id"] for r in got) == list(range(1_000)) and max(r["rows"] for r in got) < 20

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 
 from wayfold.llm.arrow import map_batches
 
+#: Bytes of texts whose stretches are held at once, beside what is remembered.
+AT_ONCE = 1 << 18
 MARK = "\u2581"
 STRETCH = r" +[^ ]*|[^ ]+"
 
@@ -304,7 +306,7 @@ def encode_pieces(docs: DataFrame, params: PieceParams = PieceParams(), key: str
 
         return work
 
-    return map_batches(docs.select(*dict.fromkeys(["doc_id", key, "text"])), make, "doc_id long, piece_ids array<int>, n_pieces long, lossless boolean")
+    return map_batches(docs.select(*dict.fromkeys(["doc_id", key, "text"])), make, "doc_id long, piece_ids array<int>, n_pieces long, lossless boolean", AT_ONCE)
 
 
 def decode_pieces(encoded: DataFrame, params: PieceParams = PieceParams()) -> DataFrame:
