@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.functions.geometry import project
 from wayfold.plans.staging import stage, unstage
 
 
@@ -66,27 +65,38 @@ def clusters(points: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
     return model.transform(rows).drop("__xy")
 
 
-def distance_to(ring: str, x: Column, y: Column) -> Column:
-    """Distance from a point to a convex ring: 0 inside."""
-
-    def over(i: Column) -> Column:
-        a, b = F.get(F.col(ring), i), F.get(F.col(ring), (i + 1) % F.size(ring))
-        _, square = project(x, y, a["x"], a["y"], b["x"], b["y"])
-        left = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-        return F.struct(square.alias("square"), left.alias("left"))
-
-    sides = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), over)
-    inside = (F.size(ring) > 2) & F.forall(sides, lambda s: s["left"] >= 0)
-    return F.when(inside, 0.0).otherwise(F.sqrt(F.array_min(F.transform(sides, lambda s: s["square"]))))
+def within_ring(ring: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Whether points are inside a convex ring or no further than the radius from it."""
+    inside, least = np.full(len(x), len(ring) > 2), np.full(len(x), np.inf)
+    for (x1, y1), (x2, y2) in zip(ring.tolist(), np.roll(ring, -1, axis=0).tolist()):
+        dx, dy = x2 - x1, y2 - y1
+        square = dx * dx + dy * dy
+        t = np.clip(((x - x1) * dx + (y - y1) * dy) / square, 0.0, 1.0) if square > 0 else 0.0
+        ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
+        inside &= dx * (y - y1) - dy * (x - x1) >= 0
+        least = np.minimum(least, ex * ex + ey * ey)
+    return inside | (np.sqrt(least) <= radius)
 
 
 def within_masks(clustered: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """(cluster, pt_id) of the points within the radius of a cluster's convex hull: a hint of what belongs together, not a filter.
 
-    There are as many hulls as clusters, a small number that was chosen, so they are broadcast.
+    There are as many hulls as clusters, a small number that was chosen, so all of them go to every task, and a batch of
+    points is held against a side of a hull at a time.
     """
-    masks = F.broadcast(hulls(clustered, "cluster"))
-    return points.join(masks, distance_to("ring", F.col("x"), F.col("y")) <= radius).select("cluster", "pt_id")
+    kinds = dict(clustered.dtypes) | {"pt_id": dict(points.dtypes)["pt_id"]}
+    masks = [(r["cluster"], np.array([(p["x"], p["y"]) for p in r["ring"]])) for r in hulls(clustered, "cluster").collect()]
+    shared = points.sparkSession.sparkContext.broadcast(masks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = batch["x"].to_numpy(float), batch["y"].to_numpy(float)
+            for cluster, ring in shared.value:
+                got = batch.loc[within_ring(ring, x, y, radius), ["pt_id"]]
+                yield got.assign(cluster=cluster)[["cluster", "pt_id"]]
+
+    rows = points.where("x is not null and y is not null").select("pt_id", "x", "y")
+    return rows.mapInPandas(run, f"cluster {kinds['cluster']}, pt_id {kinds['pt_id']}")
 
 
 def snapped_ends(ends: DataFrame, tolerance: float) -> DataFrame:
