@@ -30,3 +30,16 @@ def test_masks_cost_no_expression_for_each_side_and_point(spark):
     rows = spark.range(40).selectExpr("id as pt_id", "cast(id % 2 as int) as cluster", "cast(id * 7 % 11 as double) as x", "cast(id * 5 % 13 as double) as y")
     got = areas.within_masks(rows, rows.unionByName(rows.selectExpr("99L as pt_id", "cluster", "cast(null as double) as x", "y")), 1.0)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and {r["pt_id"] for r in got.collect()} == set(range(40))
+
+
+def test_ends_snap_in_their_order_however_dense(spark):
+    rnd = random.Random(8)
+    rows = [(k, float(rnd.randrange(60)), float(rnd.randrange(60)) if k % 3 else k * 0.5) for k in rnd.sample(range(5000), 1500)] + [(9000, None, 1.0), (9001, None, 1.0)]
+    nodes, want = [], {}
+    for end, x, y in sorted(rows, key=lambda r: r[0]):
+        got = None if x is None else next((n for n, a, b in nodes if math.hypot(x - a, y - b) <= 6.0), None)
+        want[end] = end if got is None else got
+        if got is None and x is not None:
+            nodes.append((end, x, y))
+    got = areas.snapped_ends(spark.createDataFrame(rows, "end long, x double, y double"), 6.0).collect()
+    assert {r["end"]: r["node"] for r in got} == want and len(got) == len(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,35 +100,63 @@ def within_masks(clustered: DataFrame, points: DataFrame, radius: float) -> Data
     return rows.mapInPandas(run, f"cluster {kinds['cluster']}, pt_id {kinds['pt_id']}")
 
 
+#: Cells on a side of the tiles that are worked on as a whole.
+_TILE = 16
+
+
+def _decide(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """The ends of a tile in their order: nodes, covered ones (left out), and those that an undecided end before them leaves open."""
+    nodes: dict[tuple, tuple] = {}
+    open_: dict[tuple, list] = {}
+    out = []
+    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    rows = rows.sort_values("end")
+    for end, x, y, cx, cy, node, own in zip(*(rows[c].tolist() for c in ("end", "x", "y", "cx", "cy", "node", "own"))):
+        if node == 1:
+            nodes[cx, cy] = (x, y)
+        elif not own:
+            open_.setdefault((cx, cy), []).append((x, y))
+        elif (cx, cy) in nodes or any(p and math.hypot(x - p[0], y - p[1]) <= tolerance for i, j in around if (p := nodes.get((cx + i, cy + j)))):
+            continue
+        elif (cx, cy) in open_ or any(math.hypot(x - p[0], y - p[1]) <= tolerance for i, j in around for p in open_.get((cx + i, cy + j), ())):
+            open_.setdefault((cx, cy), []).append((x, y))
+        else:
+            nodes[cx, cy], node = (x, y), 1
+        if own:
+            out.append((end, x, y, cx, cy, node))
+    return pd.DataFrame(out, columns=["end", "x", "y", "cx", "cy", "node"])
+
+
 def snapped_ends(ends: DataFrame, tolerance: float) -> DataFrame:
     """(end, node): line ends (end, x, y) that lie within the tolerance of each other become one node.
 
     In the order of ``end``, an end that no earlier node covers becomes a node, and an end belongs to the
-    first node that covers it.  Nodes are found in rounds: an end whose earlier neighbours are all
-    decided is decided itself, so rounds are as many as the longest chain of undecided neighbours.
+    first node that covers it.  Of ends in one place only the first can become a node.  Places lie in cells whose points
+    cover each other, so a cell has one node at most, however many ends are in it.  Tiles of cells are worked through in the
+    order of ends, in rounds, as far as no undecided end of another tile comes before.
     """
-    cell = lambda x: F.floor(F.col(x) / tolerance)
-    ends = stage(ends.select("end", "x", "y"), "ends")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = ends.select(F.col("end").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("dx"), cell("x").alias("cx"), cell("y").alias("cy"))
-    a = a.select("a", "ax", "ay", (F.col("cx") + F.col("dx")).alias("cx"), "cy", F.explode(around).alias("dy")).select("a", "ax", "ay", "cx", (F.col("cy") + F.col("dy")).alias("cy"))
-    b = ends.select(F.col("end").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"))
-    # (a, b): a comes before b and covers it.
-    covers = stage(a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & (F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= tolerance)).select("a", "b"), "ends-covers")
-    state = stage(ends.select("end", F.lit(None).cast("boolean").alias("node")), "ends-state")
-    while True:
-        before = covers.join(state.select(F.col("end").alias("a"), F.col("node").alias("by")), "a")
-        seen = before.groupBy(F.col("b").alias("end")).agg(F.bool_or(F.coalesce("by", F.lit(False))).alias("covered"), F.bool_or(F.col("by").isNull()).alias("open"))
-        decided = F.when(F.coalesce("covered", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        new = stage(state.join(seen, "end", "left").select("end", F.coalesce("node", decided).alias("node")), "ends-state")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    ends = stage(ends.select("end", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "ends")
+    side = tolerance / math.sqrt(2) * (1 - 1e-9)
+    cell = lambda x: F.floor(F.col(x) / side).alias(f"c{x}")
+    places = stage(ends.where(known).groupBy("x", "y").agg(F.min("end").alias("end")).select("end", "x", "y", cell("x"), cell("y")), "ends-places")
+    kind = dict(places.dtypes)["end"]
+    state = stage(places.withColumn("node", F.lit(0)), "ends-state")
+    tile = lambda c: F.array_distinct(F.transform(F.array(F.lit(-2), F.lit(0), F.lit(2)), lambda k: F.floor((F.col(c) + k) / _TILE)))
+    while state.where("node = 0").limit(1).count():
+        copies = state.withColumn("tx", F.explode(tile("cx"))).withColumn("ty", F.explode(tile("cy")))
+        copies = copies.withColumn("own", (F.col("tx") == F.floor(F.col("cx") / _TILE)) & (F.col("ty") == F.floor(F.col("cy") / _TILE)))
+        new = copies.groupBy("tx", "ty").applyInPandas(lambda rows: _decide(rows, tolerance), f"end {kind}, x double, y double, cx long, cy long, node int")
+        new = stage(new, "ends-state")
         unstage(state)
         state = new
-        if not state.where("node is null").limit(1).count():
-            break
-    nodes = state.where("node").select(F.col("end").alias("a"))
-    first = covers.join(nodes, "a").groupBy(F.col("b").alias("end")).agg(F.min("a").alias("node"))
-    rest = state.where("not node").select("end").join(first, "end")
-    return rest.union(nodes.select(F.col("a").alias("end"), F.col("a").alias("node")))
+    reach = F.array(*(F.lit(k) for k in range(-2, 3)))
+    at = state.select(F.col("end").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")
+    at = at.withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).select("a", "ax", "ay", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
+    near = places.join(at, ["cx", "cy"]).where((F.col("a") <= F.col("end")) & (F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= tolerance))
+    # Nodes cover themselves, and no earlier node does.
+    first = near.groupBy("x", "y").agg(F.min("a").alias("node"))
+    return ends.where(known).join(first, ["x", "y"]).select("end", "node").union(ends.where(~known).select("end", F.col("end").alias("node")))
 
 
 def snapped_network(lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
